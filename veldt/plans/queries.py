@@ -108,7 +108,7 @@ def melt_item_features(spark, d):
     return ft.melt(table(spark, d, "content_metadata"), "media_guid", _MELT)
 
 
-@query("SELECT media_guid, 'tag_' || trim(t) AS feature_name, 1.0::DOUBLE AS value FROM (SELECT media_guid, unnest(string_split(media_tags, ',')) AS t FROM content_metadata)")
+@query("SELECT media_guid, 'tag_' || regexp_replace(t, '^ +| +$', '', 'g') AS feature_name, 1.0::DOUBLE AS value FROM (SELECT media_guid, unnest(string_split(media_tags, ',')) AS t FROM content_metadata)")
 def split_explode_tags(spark, d):
     return ft.split_explode(table(spark, d, "content_metadata"), "media_guid", "media_tags", "tag_")
 
@@ -125,7 +125,7 @@ def declarative_transform(spark, d):
 
 @query("""SELECT DISTINCT item_id, feature_name, value FROM (
   SELECT media_guid AS item_id, 'media_type_' || media_type AS feature_name, 1.0::DOUBLE AS value FROM content_metadata WHERE media_type IS NOT NULL
-  UNION ALL SELECT media_guid, 'genre_' || trim(g), 1.0 FROM (SELECT media_guid, unnest(string_split(media_genres, ',')) AS g FROM content_metadata))
+  UNION ALL SELECT media_guid, 'genre_' || regexp_replace(g, '^ +| +$', '', 'g'), 1.0 FROM (SELECT media_guid, unnest(string_split(media_genres, ',')) AS g FROM content_metadata))
 WHERE feature_name <> ''""")
 def item_features_union(spark, d):
     m = table(spark, d, "content_metadata")
