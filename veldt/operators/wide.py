@@ -30,9 +30,11 @@ def cells(rows: DataFrame, catalogue: list[tuple[str, str]], entity: str, name:
     """
     kinds = dict(catalogue)
     category = [a for a, k in kinds.items() if k == "category"]
-    base = rows.select(col(entity).cast("string").alias("entity"), clean_name(col(name)).alias("clean"), col(value).cast("double").alias("v"), col(at).alias("at")).filter(~blank(F.col("entity")))
-    attribute, rest = resolve_attribute(F.col("clean"), list(kinds))
-    base = base.withColumn("attribute", attribute).withColumn("rest", rest).filter("attribute is not null")
+    base = rows.select(col(entity).cast("string").alias("entity"), col(name).alias("name"), col(value).cast("double").alias("v"), col(at).alias("at")).filter(~blank(F.col("entity")))
+    # The generator keeps later filters from being pushed below it, where they would clean and match each name again.
+    resolve = lambda c: F.struct(c.alias("clean"), *[x.alias(n) for x, n in zip(resolve_attribute(c, list(kinds)), ("attribute", "rest"))])
+    base = base.select("entity", "v", "at", F.explode(F.transform(F.array(clean_name(F.col("name"))), resolve)).alias("p")).select("entity", "v", "at", "p.*")
+    base = base.filter("attribute is not null")
     is_cat = F.col("attribute").isin(category) if category else F.lit(False)
     text = F.when(is_cat & (F.col("v") == 1.0) & (F.col("rest") != ""), F.col("rest"))
     num = F.when(~is_cat & (F.col("clean") == F.col("attribute")) & usable(F.col("v")), F.col("v"))
