@@ -19,7 +19,7 @@ MOST_ROWS = 2_000_000
 
 
 def _train(df: DataFrame, run) -> tuple:
-    """Runs a training function over all rows of a bounded table, in one worker task."""
+    """Runs a training function over all rows of a bounded table, in one worker task; it returns plain arrays."""
     n = df.limit(MOST_ROWS + 1).count()
     if n > MOST_ROWS:
         raise ValueError(f"more than {MOST_ROWS} training rows for one task")
@@ -48,9 +48,12 @@ class SequenceRecommender:
         def run(pdf):
             model = SequenceModel(len(items) + 1, dim, length, heads, layers, seed)
             losses = model.fit(np.array(pdf["input"].tolist()), np.array(pdf["target"].tolist()), epochs, batch, rate, patience, seed) if len(pdf) else []
-            return model, losses
+            return {k: t.data for k, t in model.p.items()}, losses
 
-        model, losses = _train(rows, run)
+        arrays, losses = _train(rows, run)
+        model = SequenceModel(len(items) + 1, dim, length, heads, layers, seed)
+        for k, t in model.p.items():
+            t.data = arrays[k]
         return SequenceRecommender(model, items, losses)
 
     def predict(self, history: list[str], top_k: int = 100) -> list[tuple[str, float]]:
@@ -126,14 +129,19 @@ class TwoTowerRecommender:
                     dense[r["entity_idx"]] = r["dense"]
             sides.append((cats, dense))
 
+        sizes = (len(names[0]) + 1, len(names[1]), *[x.shape[1] for side in sides for x in side])
+
         def run(pdf):
             (uc, ud), (ic, id_) = sides
-            model = TwoTower(len(names[0]) + 1, len(names[1]), uc.shape[1], ud.shape[1], ic.shape[1], id_.shape[1], dim, temperature, seed)
+            model = TwoTower(*sizes, dim, temperature, seed)
             data = pdf.sort_values(["user_idx", "item_idx"]).to_numpy(np.int64) if len(pdf) else np.zeros((0, 2), np.int64)
             losses = model.fit(data, (uc, ud), (ic, id_), epochs, batch, rate, id_dropout, seed)
-            return model, model.vectors("i", np.arange(len(names[1])), ic, id_) if names[1] else np.zeros((0, dim)), losses
+            return {k: t.data for k, t in model.p.items()}, model.vectors("i", np.arange(len(names[1])), ic, id_) if names[1] else np.zeros((0, dim)), losses
 
-        model, vectors, losses = _train(pairs, run)
+        arrays, vectors, losses = _train(pairs, run)
+        model = TwoTower(*sizes, dim, temperature, seed)
+        for k, t in model.p.items():
+            t.data = arrays[k]
         return TwoTowerRecommender(model, *names, slots, vectors, losses)
 
     def user_vector(self, user: str | None, features: dict[str, float] | None = None) -> np.ndarray:
