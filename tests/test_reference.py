@@ -226,11 +226,11 @@ def test_gradients_match_differences():
 
 
 def test_sequence_model_learns_order(spark):
-    df = spark.createDataFrame([(f"u{u}", i, float(9 - k)) for u in range(6) for k, i in enumerate("ABCDE")], "user_id string, item_id string, days_ago double")
+    df = spark.createDataFrame([(f"u{u}", i, float(9 - k)) for u in range(8) for k, i in enumerate("ABCDE"[: 2 + u % 4])], "user_id string, item_id string, days_ago double")
     rec = recommenders.SequenceRecommender.train(df, dim=16, length=5, layers=1, epochs=60, rate=0.01, patience=60)
-    assert rec.losses[-1] < 0.3 * rec.losses[0] and rec.predict(["A", "B"], 1)[0][0] == "C" and rec.validate()
+    assert rec.losses[-1] < 0.5 * rec.losses[0] and rec.predict(["A", "B"], 1)[0][0] == "C" and rec.validate()
     assert rec.predict([], 2) and rec.similar("zz") == []
-    got = rec.recommend(df.filter("item_id < 'C'"), k=1).collect()
+    got = rec.recommend(df.filter("user_id = 'u0'"), k=1).collect()
     assert {r["item_id"] for r in got} == {"C"}
 
 
