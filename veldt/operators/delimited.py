@@ -78,7 +78,7 @@ def split_rule(skeleton: str) -> list[tuple[int, int, str]]:
 
 def _rules(batches):
     for pdf in batches:
-        yield pd.DataFrame({"skeleton": pdf["skeleton"], "rule": [[{"first": a, "n": b, "quoting": q} for a, b, q in split_rule(s)] for s in pdf["skeleton"]]})
+        yield pd.DataFrame({"skeleton": pdf["skeleton"], "rule": pd.Series([[{"first": a, "n": b, "quoting": q} for a, b, q in split_rule(s)] for s in pdf["skeleton"]], pdf.index, object)})
 
 
 def split_packed(df: DataFrame, key: str, field: str, names: DataFrame | None = None, names_col: str = "genre") -> DataFrame:
