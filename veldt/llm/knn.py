@@ -171,7 +171,7 @@ def _rerank(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cand, ask = pdf[pdf["q"] < 0], pdf[pdf["q"] >= 0]
         if not len(cand) or not len(ask):
-            return pd.DataFrame({"q": [], "ids": [], "sims": []})
+            return pd.DataFrame({"q": np.zeros(0, np.int64), "ids": pd.Series([], dtype=object), "sims": pd.Series([], dtype=object)})
         cand = cand.sort_values("id", key=lambda s: s.map(str.encode))
         c, ids = _unit(_vectors(cand["vec"])), cand["id"].to_numpy()
         outs, q = [], ask["q"].to_numpy()

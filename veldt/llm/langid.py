@@ -254,7 +254,7 @@ def detect(w: dict[str, np.ndarray], ids: list, texts: list) -> pd.DataFrame:
             for no, (_, n, lang, sure) in enumerate(path, 1):
                 for c, x in zip(out, (ids[k], no, LANGS[lang], sure, n, len(path))):
                     out[c].append(x)
-    return pd.DataFrame(out).astype({"seg_no": "int32", "n_sentences": "int32", "n_segments": "int32", "confidence": float})
+    return pd.DataFrame(out).astype({"lang": object, "seg_no": "int32", "n_sentences": "int32", "n_segments": "int32", "confidence": float})
 
 
 def train_on(docs: DataFrame, text: str, label: str, sample: int = SAMPLE) -> dict[str, np.ndarray]:

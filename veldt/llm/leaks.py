@@ -230,7 +230,7 @@ def _search(shared, run: int, budget: int):
 
     def rows(items, docs, folded):
         doc, item, errors, length = find(items, folded)
-        return pd.DataFrame({"doc": [docs[i] for i in doc], "item": [items.ids[i] for i in item], "errors": errors.astype("int32"), "run": length.astype("int32")})
+        return pd.DataFrame({"doc": pd.Series([docs[i] for i in doc], dtype=object), "item": pd.Series([items.ids[i] for i in item], dtype=object), "errors": errors.astype("int32"), "run": length.astype("int32")})
 
     return scan
 
