@@ -1,6 +1,7 @@
 """Reference operators on small literal cases with known values."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -191,6 +192,28 @@ def test_neighbours(spark):
     assert ann.mean_recall(ann.hyperplane_top_k(v, v, 5, 16, bits=4, tables=16), exact) > 0.7
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_registered_hyperplanes_recall(spark, size):
+    from veldt.plans import queries
+
+    d = f"/root/testdata/{size}"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    exact = ann.top_k(*queries._vectors(spark, d), 10, cosine=True)
+    recall = ann.mean_recall(queries.knn_hyperplanes(spark, d), exact)
+    print("recall@10", size, recall)
+    assert recall >= 0.9
+
+
+def test_probes_of_hyperplanes(spark):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(64)]) for i in range(300)], "id bigint, v array<double>")
+    exact = ann.top_k(v, v, 5, cosine=True)
+    got = [ann.mean_recall(ann.hyperplane_top_k(v, v, 5, 64, **p), exact) for p in ({"probes": 1}, {}, {"probes": 256})]
+    assert got[0] < 0.6 and 0.9 <= got[1] <= 1 and got[2] == 1.0
+    assert ann.hyperplane_top_k(v.limit(0), v, 5, 64).count() == 0
+
+
 def test_towers_learn_and_round_trip(tmp_path):
     pairs = np.array([(u, i) for u in range(1, 9) for i in range(8) if u % 2 == i % 2])
     model = TwoTower(9, 8, dim=8, seed=1)

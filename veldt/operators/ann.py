@@ -68,24 +68,36 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, cosine: bool = False, co
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("id").alias("item_id"), "score")
 
 
-def hyperplane_top_k(queries: DataFrame, items: DataFrame, k: int, dim: int, bits: int = 8, tables: int = 8, seed: int = 7) -> DataFrame:
-    """As top_k by cosine, among items that share a hash of `bits` random hyperplanes in one of the tables: approximate.
+def hyperplane_top_k(queries: DataFrame, items: DataFrame, k: int, dim: int, bits: int = 8, tables: int = 8, seed: int = 7, probes: int | None = None) -> DataFrame:
+    """As top_k by cosine, among items in the `probes` nearest hash buckets of a query in one of the tables: approximate.
 
-    Hash buckets are equi-join keys; a pair that meets in several tables counts once.
+    A hash is the signs of `bits` random hyperplanes. A query probes the buckets that it is least far from, by the summed
+    distance to the hyperplanes in between, its own first; by default an eighth of the 2 ** bits. Hash buckets are
+    equi-join keys; a pair that meets in several tables counts once.
     """
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
     weights = (1 << np.arange(bits)).astype(np.int64)
-
-    def sign(batches):
-        for pdf in batches:
-            if len(pdf):
-                on = (_stack(pdf["v"]) @ planes.T > 0).reshape(len(pdf), tables, bits) @ weights
-                yield pd.DataFrame({"id": pdf["id"].repeat(tables).to_numpy(), "h": (np.arange(tables) * (1 << bits) + on).ravel()})
+    flips = (np.arange(1 << bits)[:, None] >> np.arange(bits) & 1).astype(float)
+    probes = max(1, (1 << bits) // 8) if probes is None else min(probes, 1 << bits)
+
+    def sign(n):
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    far = (_stack(pdf["v"]) @ planes.T).reshape(len(pdf), tables, bits)
+                    on = (far > 0) @ weights + np.arange(tables) * (1 << bits)
+                    h = on[:, :, None]
+                    if n > 1:
+                        near = [np.argsort(np.abs(far[:, t]) @ flips.T, 1, kind="stable")[:, :n] for t in range(tables)]
+                        h = h ^ np.stack(near, 1)
+                    yield pd.DataFrame({"id": pdf["id"].repeat(tables * n).to_numpy(), "h": h.ravel()})
+
+        return run
 
     unit = lambda df: df.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v")).dropna()
     a, b = unit(queries), unit(items)
-    x = a.mapInPandas(sign, "id bigint, h bigint").withColumnRenamed("id", "q")
-    y = b.mapInPandas(sign, "id bigint, h bigint")
+    x = a.mapInPandas(sign(probes), "id bigint, h bigint").withColumnRenamed("id", "q")
+    y = b.mapInPandas(sign(1), "id bigint, h bigint")
     pairs = x.join(y, "h").select("q", "id").distinct()
     from veldt.operators.mappings import cosine as cos
 
