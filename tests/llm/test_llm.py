@@ -163,6 +163,28 @@ def test_components_and_split(spark):
     assert groupsplit.group_split(df.limit(0), "user_id", links.limit(0), "user_id", "linked_id", "event_type").count() == 0
 
 
+def test_split_keeps_quotas_of_labels_that_never_dominate(spark, monkeypatch):
+    # All components have ten records, most of them views.
+    mixes = [("cart", 4, 40), ("purchase", 3, 50), ("rating", 2, 60)]
+    records = [(f"{x}{u}", y) for x, n, users in mixes for u in range(users) for y in ["view"] * (10 - n) + [x] * n] + [(f"v{u}", "view") for u in range(250) for _ in range(10)]
+    df = spark.createDataFrame(records, "user_id string, event_type string")
+    links = spark.createDataFrame([], "user_id string, linked_id string")
+    for profiles in (groupsplit.PROFILES, 2):
+        monkeypatch.setattr(groupsplit, "PROFILES", profiles)
+        users = groupsplit.group_split(df, "user_id", links, "user_id", "linked_id", "event_type")
+        got = Counter((r["split"], r["event_type"]) for r in groupsplit.record_split(df, "user_id", users).collect())
+        assert sum(got.values()) == len(records)
+        if profiles > 2:
+            for x, n, k in mixes:
+                assert [got[s, x] for s in groupsplit.SPLITS] == [n * k * 8 // 10, n * k // 10, n * k // 10]
+
+
+def test_allocation_charges_every_label():
+    bundles = [("a", 10, 1, 10), ("b", 10, 1, 10), ("c", 10, 8, 80)]
+    got = groupsplit.allocate(bundles, (0.5, 0.5), [{"view": 6, "buy": 4}, {"view": 6, "buy": 4}, {"view": 80}])
+    assert sorted(got[:2]) == [[0, 1], [1, 0]] and got[2] == [4, 4]
+
+
 # 8. BPE.
 
 ODD = ["", " ", "a", "Hello world's  end\n\n", "é" * 3000, "!" * 20_001, "ab" * 9000, "<|endoftext|>x", "日本語のテキスト。", "👩‍💻 ok", "\u0000​", "don't we'll I'M", "1234567 ½", "x" * 4097]

@@ -1,8 +1,8 @@
 """Train, validation and test splits that keep linked records together.
 
-Groups are connected components of id links. They are bundled by size and label profile; a min-cost flow sends each
-bundle's records to the splits so that the quotas are met, overall and per label, at the least deviation; the flow is
-rounded to whole components, and the members of a bundle are dealt out by the order of their hashes.
+Groups are connected components of id links. They are bundled by their counts of each label; a min-cost flow sends each
+label's records to the splits so that the quotas are met, overall and per label, at the least deviation; the flow is
+rounded to whole components by the labels they hold, and the members of a bundle are dealt out by the order of their hashes.
 """
 
 from collections import deque
@@ -17,8 +17,11 @@ from veldt.session import col, cut, hint, release
 SPLITS = ("train", "validation", "test")
 #: Component sizes above this are bundled by hundredths of their magnitude, so that bundles stay few at any scale.
 EXACT_SIZES = 4096
-#: Label profiles beyond the most frequent ones share one profile.
+#: Labels beyond the most frequent ones count as one label.
 LABELS = 64
+#: Label profiles (counts of each label) that have a bundle of their own, the most frequent ones; components of other
+#: profiles are bundled by size and dominant label, and the bundle's counts of all labels are charged.
+PROFILES = 16384
 #: Hash classes in which the members of a bundle are counted before they are ranked.
 DEAL = 1024
 
@@ -88,15 +91,21 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
     return [cap[2 * k + 1] for k in range(len(arcs))]
 
 
-def allocate(bundles: list[tuple[str, int, int, int]], shares: tuple[float, ...]) -> list[list[int]]:
-    """Components per split for each bundle (label, size, components, records).
+def allocate(bundles: list[tuple[str, int, int, int]], shares: tuple[float, ...], counts: list[dict] | None = None) -> list[list[int]]:
+    """Components per split for each bundle (profile, size, components, records).
 
-    Bundles of one label can stand for each other in the flow, so the network has a node per label and per label and
-    split; arcs cost nothing up to the quota and, beyond it, one per record within a label and four overall. The flow of
-    a label is rounded to whole components from the largest size down: each takes the split that lacks most records.
+    counts has each bundle's records by label; without it, the profile is the label of all of them. Records of one label
+    can stand for each other in the flow, so the network has a node per label and per label and split; arcs cost nothing
+    up to the quota and, beyond it, one per record within a label and four overall. The flow is rounded to whole
+    components from the largest size down: each bundle is spread as its labels are still lacking, and what is left over
+    takes the split where it lowers the same costs most, then the split that got least of such before.
     """
-    labels = sorted({b[0] for b in bundles})
-    supply = {x: sum(b[3] for b in bundles if b[0] == x) for x in labels}
+    counts = [{b[0]: b[3]} for b in bundles] if counts is None else counts
+    labels = sorted({x for c in counts for x in c})
+    supply = dict.fromkeys(labels, 0)
+    for c in counts:
+        for x, n in c.items():
+            supply[x] += n
     total, k = sum(supply.values()), len(shares)
     split0 = 1 + len(labels)
     mid0, sink = split0 + k, split0 + k + len(labels) * k
@@ -112,20 +121,31 @@ def allocate(bundles: list[tuple[str, int, int, int]], shares: tuple[float, ...]
         arcs += [(split0 + s, sink, round(total * shares[s]), 0), (split0 + s, sink, total, 4)]
     flow = min_cost_flow(sink + 1, arcs, 0, sink, total)
     lack = {x: [flow[at[x, s]] for s in range(k)] for x in labels}
-    out = {}
-    for i, (x, size, count, records) in sorted(enumerate(bundles), key=lambda b: (-b[1][1], b[1][0])):
-        each, got, rest = records / max(count, 1), [0] * k, lack[x]
-        open_ = sum(max(r, 0) for r in rest)
-        if count > k:
-            weights = [max(r, 0) / open_ for r in rest] if open_ > 0 else shares
-            got = [int(w * count) for w in weights]
+    whole = [sum(lack[x][s] for x in labels) for s in range(k)]
+    carry, out = [0.0] * k, {}
+    for i, (_, size, count, records) in sorted(enumerate(bundles), key=lambda b: (-b[1][1], b[1][0])):
+        each, want = {x: n / max(count, 1) for x, n in counts[i].items()}, [0.0] * k
+        for x, n in counts[i].items():
+            open_ = sum(max(r, 0) for r in lack[x])
             for s in range(k):
-                rest[s] -= got[s] * each
+                want[s] += count * n / max(records, 1) * (max(lack[x][s], 0) / open_ if open_ > 0 else shares[s])
+        got = [0] * k
+
+        def give(s: int, n: int) -> None:
+            got[s] += n
+            for x, m in each.items():
+                lack[x][s] -= n * m
+                whole[s] -= n * m
+
+        def gain(s: int) -> float:
+            m = sum(each.values())
+            return sum(abs(lack[x][s]) - abs(lack[x][s] - m) for x, m in each.items()) + 4 * (abs(whole[s]) - abs(whole[s] - m))
+
+        for s in range(k):
+            give(s, min(int(want[s]), count - sum(got)))
         while sum(got) < count:
-            s = max(range(k), key=lambda s: (rest[s], -s))
-            more = max(1, min(count - sum(got), int((rest[s] - sorted(rest)[-2]) / each) if each > 0 and k > 1 else count))
-            got[s] += more
-            rest[s] -= more * each
+            give(max(range(k), key=lambda s: (round(gain(s), 6), carry[s] + want[s] - got[s], -s)), 1)
+        carry = [c + w - g for c, w, g in zip(carry, want, got)]
         out[i] = got
     return [out[i] for i in range(len(bundles))]
 
@@ -142,18 +162,24 @@ def group_split(records: DataFrame, user: str, links: DataFrame, left: str, righ
     counts = counts.groupBy("u", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("node", node(F.col("u")))
     comps = components(links, left, right)
     counts = cut(counts.join(hint(comps), "node", "left").withColumn("linked", F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "node")))
-    per_label = counts.groupBy("comp", "x").agg(F.sum("n").alias("n"))
-    common = [r["x"] for r in per_label.groupBy("x").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "x").limit(LABELS).collect()]
-    profile = F.max(F.struct("n", F.when(F.col("x").isin(common or [""]), F.col("x")).otherwise(F.lit("")).alias("x")))["x"]
-    whole = per_label.groupBy("comp").agg(F.sum("n").alias("size"), profile.alias("profile"))
+    common = [r["x"] for r in counts.groupBy("x").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "x").limit(LABELS).collect()]
+    label_at = F.array_position(F.array(*[F.lit(x) for x in common or [""]]), F.col("x")).cast("int")  # 0: beyond the most frequent
+    per_label = counts.groupBy("comp", label_at.alias("i")).agg(F.sum("n").alias("n"))
+    whole = per_label.groupBy("comp").agg(F.sum("n").alias("size"), F.max(F.struct("n", "i"))["i"].alias("most"), F.sort_array(F.collect_list(F.struct("i", "n"))).alias("labels"))
+    exact = F.concat_ws(" ", F.transform("labels", lambda z: F.concat_ws(":", z["i"].cast("string"), z["n"].cast("string"))))
     coarse = F.floor(F.pow(F.lit(10.0), F.floor(F.log10("size") * 100) / 100)).cast("bigint")
-    whole = whole.withColumn("bundle", F.when(F.col("size") <= EXACT_SIZES, F.col("size")).otherwise(coarse)).withColumn("h", F.xxhash64("comp")).withColumn("deal", F.pmod("h", F.lit(DEAL)).cast("int"))
-    whole = cut(whole)
+    whole = whole.withColumn("exact", exact).withColumn("bundle", F.when(F.col("size") <= EXACT_SIZES, F.col("size")).otherwise(coarse)).withColumn("h", F.xxhash64("comp")).withColumn("deal", F.pmod("h", F.lit(DEAL)).cast("int"))
+    kept = whole.groupBy("exact").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "exact").limit(PROFILES).select("exact", F.col("exact").alias("profile"))
+    whole = cut(whole.join(F.broadcast(kept), "exact", "left").withColumn("profile", F.coalesce("profile", F.concat(F.lit("most "), F.col("most").cast("string")))).drop("exact", "most"))
     dealt = cut(whole.groupBy("profile", "bundle", "deal").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("r")))
-    bundles = [(r["profile"], r["bundle"], r["c"], r["r"]) for r in dealt.groupBy("profile", "bundle").agg(F.sum("c").alias("c"), F.sum("r").alias("r")).orderBy("profile", "bundle").collect()]
+    by_label = whole.select("profile", "bundle", F.explode("labels").alias("z")).groupBy("profile", "bundle", "z.i").agg(F.sum("z.n").alias("n"))
+    by_label = by_label.groupBy("profile", "bundle").agg(F.collect_list(F.struct("i", "n")).alias("labels"))
+    sums = dealt.groupBy("profile", "bundle").agg(F.sum("c").alias("c"), F.sum("r").alias("r")).join(by_label, ["profile", "bundle"]).orderBy("profile", "bundle").collect()
+    bundles = [(r["profile"], r["bundle"], r["c"], r["r"]) for r in sums]
+    labels = [dict(sorted((z["i"], z["n"]) for z in r["labels"])) for r in sums]
     if not bundles:
         return counts.select(F.col("u").alias(user), "comp", "linked", "n", F.lit("train").alias("split"))
-    plan = [(b[0], b[1], *[int(x) for x in got]) for b, got in zip(bundles, allocate(bundles, shares))]
+    plan = [(b[0], b[1], *[int(x) for x in got]) for b, got in zip(bundles, allocate(bundles, shares, labels))]
     quota = records.sparkSession.createDataFrame(plan, "profile string, bundle bigint, " + ", ".join(f"c{s} bigint" for s in range(len(shares))))
     before = F.sum("c").over(W.partitionBy("profile", "bundle").orderBy("deal").rowsBetween(W.unboundedPreceding, -1))
     offsets = dealt.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(quota), ["profile", "bundle"])
