@@ -269,3 +269,26 @@ def test_registry_and_two_tower(spark, tmp_path):
     assert reg.predict("mars", "u0") == rec.predict("u0") and len(reg) == 1 and reg.unregister("global") and not reg
     with pytest.raises(KeyError):
         reg.predict("mars", "u0")
+
+
+def test_registry_answers_every_territory(spark):
+    class Fixed:
+        def __init__(self, item):
+            self.item = item
+
+        def recommend(self, interactions, features=None, k=100):
+            return interactions.select("user_id").distinct().select("user_id", F.lit(1).alias("rank"), F.lit(self.item).alias("item_id"), F.lit(1.0).alias("score"))
+
+    n = 10_100
+    requests = spark.createDataFrame([(f"u{i}", f"t{i}") for i in range(n)] + [("u0", "DE"), ("u1", None), ("u2", "global")], "user_id string, territory string")
+    seen = spark.createDataFrame([(f"u{i}", "A", 1.0) for i in range(n)], XS)
+    reg = recommenders.Registry("global")
+    reg.register("DE", Fixed("D"))
+    reg.register("FR", Fixed("F"))
+    with pytest.raises(KeyError):
+        reg.recommend(requests, seen)
+    reg.register("global", Fixed("G"))
+    got = [(r["user_id"], r["territory"], r["item_id"]) for r in reg.recommend(requests, seen).collect()]
+    assert len(got) == n + 3 and {("u0", "DE", "D"), ("u1", None, "G"), ("u2", "global", "G"), ("u10099", "t10099", "G")} <= {*got}
+    assert {x for _, _, x in got} == {"D", "G"}
+    assert reg.recommend(requests.limit(0), seen) is None

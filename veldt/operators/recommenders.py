@@ -233,18 +233,21 @@ class Registry:
         return self.route(territory).similar(item, k)
 
     def recommend(self, requests: DataFrame, interactions: DataFrame, features: DataFrame | None = None, k: int = 100) -> DataFrame:
-        """user_id, territory, rank, item_id, score for requests (user_id, territory); one plan per model, not per user."""
+        """user_id, territory, rank, item_id, score for requests (user_id, territory); one plan per model, not per user.
+
+        Requests of any territory without a model, null included, go to the fallback.
+        """
         known = list(self.models)
-        wanted = [r[0] for r in requests.select("territory").distinct().limit(10_000).collect()]
-        groups: dict[str, list[str]] = {}
-        for t in wanted:
-            key = t if t in known else self.fallback
-            if key not in self.models:
-                raise KeyError(f"no model for {t!r} and no fallback")
-            groups.setdefault(key, []).append(t)
+        own = F.coalesce(F.col("territory").isin(known), F.lit(False))
+        # No more rows than models.
+        wanted = {r[0]: F.col("territory") == r[0] for r in requests.filter(own).select("territory").distinct().collect()}
+        for r in requests.filter(~own).select("territory").limit(1).collect():
+            if self.fallback not in self.models:
+                raise KeyError(f"no model for {r[0]!r} and no fallback")
+            wanted[self.fallback] = ~own | (F.col("territory") == self.fallback)
         out = None
-        for key, mine in groups.items():
-            users = requests.filter(F.col("territory").isin(mine)).select("user_id", "territory").distinct()
+        for key, mine in wanted.items():
+            users = requests.filter(mine).select("user_id", "territory").distinct()
             only = users.select("user_id").distinct()
             ranked = self.models[key].recommend(interactions.join(only, "user_id", "left_semi"), features.join(only, "user_id", "left_semi") if features is not None else None, k)
             part = ranked.join(users, "user_id")
