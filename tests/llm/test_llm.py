@@ -66,6 +66,13 @@ def test_pairs_match_brute_force(spark, support, big):
         assert math.isclose(r["odds_ratio"], odds) and math.isclose(r["lift"], c * total / n[a] / n[b])
 
 
+def test_pairs_with_many_large_baskets(spark):
+    df = spark.range(80 * 300).select((F.col("id") % 80).alias("b"), (F.col("id") / 80).cast("int").alias("i"))
+    got = pairs.pair_association(df, "b", "i", 80)
+    assert got.agg(F.count(F.lit(1)), F.min("n_ab"), F.max("n_ab")).first() == (300 * 299 // 2, 80, 80)
+    assert pairs.pair_association(df, "b", "i", 81).count() == 0
+
+
 def test_pairs_empty_and_lift(spark):
     df = spark.createDataFrame([("b1", "x"), ("b1", "y"), ("b2", "x"), ("b3", "y"), ("b4", "z")], "b string, i string")
     assert pairs.pair_association(df.limit(0), "b", "i", 1).count() == 0

@@ -159,12 +159,6 @@ def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(float)
 
 
-def _best(ids: list[np.ndarray], sims: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    i, s = np.concatenate(ids), np.concatenate(sims)
-    order = np.lexsort((i, -s))[:k]
-    return i[order], s[order]
-
-
 def _rerank(k: int):
     """All candidates and queries of one block pair: the k best candidates of each query by rounded cosine, then id."""
 

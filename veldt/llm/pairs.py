@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldt.session import col, cut, hint, release
@@ -18,6 +19,10 @@ from veldt.session import col, cut, hint, release
 RUN = 4_000_000
 #: Baskets of more items are cut into blocks, and pairs of blocks are spread over tasks.
 BLOCK = 256
+#: Large baskets that are set apart, at most.
+LARGE = 64
+#: Items that one task numbers.
+RANGE = 250_000
 
 
 def _runs(batches):
@@ -101,12 +106,15 @@ def pair_association(rows: DataFrame, basket: str, item: str, support: int = 10,
     total = sizes.count()
     # An item needs `support` baskets itself. Dense numbers in byte order: ranges sorted in parallel, then numbered.
     numbered = cut(_dense(counts))
-    large = [r["b"] for r in sizes.filter(F.col("size") > BLOCK).orderBy(F.col("size").desc(), "b").limit(support - 1).collect()]
+    release(counts)
+    # The largest baskets by size, numbered: fewer than `support`, and no more than LARGE (blocks take any others).
+    large = cut(sizes.filter(F.col("size") > BLOCK).orderBy(F.col("size").desc(), "b").limit(min(support - 1, LARGE)).select("b", F.monotonically_increasing_id().alias("j")))
+    n_large = large.count()
     coded = base.join(hint(numbered.select("i", "k")), "i").select("b", "k")
-    in_large = F.col("b").isin(large) if large else F.lit(False)
-    lists = coded.filter(~in_large).withColumn("part", F.lit(0))
     # Baskets of more than BLOCK items are collected in blocks, never whole.
-    wide = cut(sizes.filter((F.col("size") > BLOCK) & ~in_large).select("b", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
+    wide = cut(sizes.filter(F.col("size") > BLOCK).join(F.broadcast(large), "b", "left_anti").select("b", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
+    release(sizes)
+    lists = coded.join(F.broadcast(large), "b", "left_anti")
     lists = lists.join(hint(wide), "b", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")))
     lists = lists.groupBy("b", "part").agg(F.sort_array(F.collect_list("k")).alias("left"))
     inner = lists.select("left", F.lit(None).cast("array<int>").alias("right"))
@@ -116,20 +124,16 @@ def pair_association(rows: DataFrame, basket: str, item: str, support: int = 10,
         inner = inner.union(both.select("left", "right").repartition(2 * rows.sparkSession.sparkContext.defaultParallelism))
     runs = inner.mapInArrow(_runs, "code bigint, n bigint")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    merged = runs.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_merge(max(1, support - len(large))), "code bigint, n bigint")
+    merged = runs.repartition(parts, "code").sortWithinPartitions("code").mapInArrow(_merge(max(1, support - n_large)), "code bigint, n bigint")
     pairs = merged.select(F.shiftright("code", 32).cast("int").alias("ka"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("kb"), "n")
-    # What the large baskets add: one bit per large basket and item.
-    bits = numbered.select("k", F.col("i").alias("item"), F.col("n").alias("ni"))
-    if large:
-        place = F.create_map(*[x for j, b in enumerate(large) for x in (F.lit(b), F.lit(1 << j))])
-        held = coded.filter(in_large).groupBy("k").agg(F.sum(place[F.col("b")].cast("bigint")).alias("in_large"))
-        bits = bits.join(held, "k", "left")
-    else:
-        bits = bits.withColumn("in_large", F.lit(None).cast("bigint"))
-    bits = hint(cut(bits.withColumn("in_large", F.coalesce("in_large", F.lit(0).cast("bigint")))))
+    # What the large baskets add: for each item the numbers of the large baskets that hold it, fewer than `support`.
+    held = coded.join(F.broadcast(large), "b").groupBy("k").agg(F.collect_list("j").alias("held"))
+    ends = numbered.select("k", F.col("i").alias("item"), F.col("n").alias("ni")).join(hint(held), "k", "left")
+    ends = hint(cut(ends.withColumn("held", F.coalesce("held", F.array().cast("array<bigint>")))))
     for s in "ab":
-        pairs = pairs.join(bits.select(F.col("k").alias(f"k{s}"), F.col("item").alias(f"item_{s}"), F.col("ni").alias(f"n_{s}"), F.col("in_large").alias(f"l{s}")), f"k{s}")
-    pairs = pairs.withColumn("n_ab", F.col("n") + F.bit_count(F.col("la").bitwiseAND(F.col("lb"))).cast("bigint")).filter(F.col("n_ab") >= support)
+        pairs = pairs.join(ends.select(F.col("k").alias(f"k{s}"), F.col("item").alias(f"item_{s}"), F.col("ni").alias(f"n_{s}"), F.col("held").alias(f"l{s}")), f"k{s}")
+    both_large = F.size(F.array_intersect("la", "lb")) if n_large else F.lit(0)
+    pairs = pairs.withColumn("n_ab", F.col("n") + both_large.cast("bigint")).filter(F.col("n_ab") >= support)
     a, b, ab, t = F.col("n_a"), F.col("n_b"), F.col("n_ab"), F.lit(total)
     pairs = pairs.filter(ab * t >= F.lit(min_lift) * a * b)
     odds = (ab + 0.5) * (t - a - b + ab + 0.5) / ((a - ab + 0.5) * (b - ab + 0.5))
@@ -137,18 +141,15 @@ def pair_association(rows: DataFrame, basket: str, item: str, support: int = 10,
 
 
 def _dense(counts: DataFrame) -> DataFrame:
-    """i, n, k: k numbers the items from 0 in their order, without a global window in one task."""
-    parts = max(1, min(64, counts.rdd.getNumPartitions()))
+    """i, n, k: k numbers the items from 0 in their order, in ranges of about RANGE items each."""
+    parts = max(1, -(-counts.count() // RANGE))
     ranged = cut(counts.repartitionByRange(parts, "i").sortWithinPartitions("i").withColumn("p", F.spark_partition_id()))
-    sizes = {r["p"]: r["count"] for r in ranged.groupBy("p").count().collect()}  # one row per range
-    starts, at = [], 0
-    for p in sorted(sizes):
-        starts.append((p, at))
-        at += sizes[p]
+    sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("c"))  # one row per range
+    before = F.coalesce(F.sum("c").over(W.partitionBy(F.lit(1)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", key=lambda s: s.map(lambda x: x.encode() if isinstance(x, str) else x), ignore_index=True)
-        return pd.DataFrame({"i": pdf["i"], "n": pdf["n"], "k": (np.arange(len(pdf)) + first[int(pdf["p"].iloc[0])]).astype("int32")})
+        return pd.DataFrame({"i": pdf["i"], "n": pdf["n"], "k": (np.arange(len(pdf)) + pdf["before"].to_numpy()).astype("int32")})
 
-    first = dict(starts)
-    return ranged.groupBy("p").applyInPandas(number, f"i {dict(counts.dtypes)['i']}, n bigint, k int")
+    firsts = sizes.select("p", before.alias("before"))
+    return ranged.join(hint(firsts), "p").groupBy("p").applyInPandas(number, f"i {dict(counts.dtypes)['i']}, n bigint, k int")
