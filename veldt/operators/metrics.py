@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class NothingKnown(ValueError):
+    """No test user and item is known to the model."""
+
+
 def precision_at_k(recommended: list, relevant: set, k: int) -> float:
     return len(set(recommended[:k]) & set(relevant)) / k if k else 0.0
 
@@ -88,7 +92,7 @@ def evaluate(model, train: DataFrame, test: DataFrame, user_features: DataFrame
     users = relevant.select("user_id").distinct()
     n = users.count()
     if not n:
-        raise ValueError("no test user and item is known to the model")
+        raise NothingKnown("no test user and item is known to the model")
     history = train.join(users, "user_id", "left_semi")
     features = user_features.join(users, "user_id", "left_semi") if user_features is not None else None
     ranked = cut(model.recommend(history, features, max(ks)))

@@ -74,7 +74,7 @@ def key_stats(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...]
             # The two ends always fall into different parts, so that every round makes progress.
             part = F.when(F.col("v") >= F.col("b"), F.lit(PARTS)).otherwise(F.greatest(part, F.lit(0))).cast("int")
             inside = base.filter("v is not null").join(bins, "k").filter("v between a and b").withColumn("part", part)
-            last, here = here, cut(_locate(_histogram(inside, "k", "a", "b", "part"), ["k", "a", "b"], "part", open_).select("k", "q", "rank", "n", "lo", "hi"))
+            here = cut(_locate(_histogram(inside, "k", "a", "b", "part"), ["k", "a", "b"], "part", open_).select("k", "q", "rank", "n", "lo", "hi"))
     answers = reduce(DataFrame.unionByName, found) if found else None
     out = per_key
     if answers is not None:

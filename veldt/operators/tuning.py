@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.weighting import weigh
 from veldt.operators.linear import blocks, solve
-from veldt.operators.metrics import evaluate, mean_metrics, per_user_metrics
+from veldt.operators.metrics import NothingKnown, evaluate, mean_metrics, per_user_metrics
 from veldt.operators.splits import row_folds, user_folds
 from veldt.session import cut
 
@@ -66,7 +66,7 @@ def search(interactions: DataFrame, trials: list[dict[str, float]], user_feature
             ranked = model.recommend(none, feats, k)
             row = mean_metrics(per_user_metrics(ranked, relevant, [k], True)).first()
             return float(row["ndcg"]) if row else 0.0
-        except ValueError:
+        except NothingKnown:
             return 0.0
 
     with ThreadPoolExecutor(threads) as pool:

@@ -5,6 +5,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +35,21 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Paths of the tables that cut() wrote and nothing has deleted yet.
+_written: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder of its own (tests); on a cluster that raises, as each
+    executor would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="veldt-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -46,23 +58,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that no lineage is left; by: a partition column."""
+    """Writes a table to the shared folder and reads it back, so that no lineage is left; by: a partition column.
+
+    The files go with release(), at the latest when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veldt-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(by) if by else df.write
+    _written.add(path)
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._veldt_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the files of tables that cut() wrote and that no later step reads."""
     for df in frames:
         if path := getattr(df, "_veldt_path", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+@atexit.register
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context else None
+    for path in list(_written) if spark else []:
+        try:
+            _delete(spark, path)
+        except Exception:  # the engine may be gone before us
+            return
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -1,4 +1,4 @@
-"""Interactions as a stream: windowed item counts with late data, over the same record rules as the batch operators."""
+"""Interactions as a stream: windowed item counts with late data. Every delivery counts; unusable rows do not."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
