@@ -1,42 +1,64 @@
 """Closed-form linear item model with side features.
 
-Gram blocks are distributed aggregations over symmetric halves; the dense inverse runs in one worker task behind a check
-of its memory; weights come back as a long table. Blocks do not depend on alpha, beta, lambda or the metadata weight, so
-a search computes them once.
+Gram blocks are distributed aggregations over symmetric halves, with large groups salted; the dense inverse runs in one
+worker task behind a check of its memory. Blocks do not depend on alpha, beta, lambda or the metadata weight, so a search
+computes them once. Scoring multiplies packed user rows with one block of targets at a time inside the workers, masks and
+cuts to the k best there, so only k rows a user and block ever move.
 """
 
-import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veldt.functions.features import Transform
 from veldt.session import cut, hint
 
 #: Bytes that the three dense matrices of a solve may take.
 SOLVE_BYTES = 3_000_000_000
+#: Bytes of the weights of one block of targets, as sent to the workers.
+BLOCK_BYTES = 64_000_000
+#: Pairs that one task may make of one group of a Gram join; larger groups are salted.
+GROUP_PAIRS = 4_000_000
+#: What an item that is not eligible gets on top of its score.
+NOT_ELIGIBLE = -1e9
+
+
+def _paired(x: DataFrame, y: DataFrame) -> DataFrame:
+    """x and y joined on b. The x rows of a group with very many pairs are spread over salts, its y rows repeated for each."""
+    sizes = x.groupBy("b").agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy("b").agg(F.count(F.lit(1)).alias("ny")), "b")
+    salts = F.least("nx", F.ceil(F.col("nx") * F.col("ny") / GROUP_PAIRS))
+    heavy = cut(sizes.select("b", salts.cast("int").alias("salts")).filter("salts > 1"))
+    if heavy.isEmpty():
+        return x.join(y, "b")
+    heavy, many = hint(heavy), F.coalesce("salts", F.lit(1))
+    x = x.join(heavy, "b", "left").withColumn("salt", F.pmod(F.xxhash64("i"), many).cast("int")).drop("salts")
+    y = y.join(heavy, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
+    return x.join(y, ["b", "salt"]).drop("salt")
 
 
 def gram(left: DataFrame, by: str, key: str, value: str = "value") -> DataFrame:
     """i <= j, g: sums over `by` of the products of values of two keys. Duplicates are summed first."""
-    x = left.groupBy(F.col(by).alias("b"), F.col(key).alias("i")).agg(F.sum(value).alias("v"))
+    x = cut(left.groupBy(F.col(by).alias("b"), F.col(key).alias("i")).agg(F.sum(value).alias("v")))
     y = x.select("b", F.col("i").alias("j"), F.col("v").alias("w"))
-    return x.join(y, "b").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g"))
+    return _paired(x, y).filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g"))
 
 
 def cross_gram(left: DataFrame, left_key: str, right: DataFrame, right_key: str, by: str, value: str = "value") -> DataFrame:
     """i, j, g: sums over `by` of the products of a left key's and a right key's values."""
-    x = left.groupBy(F.col(by).alias("b"), F.col(left_key).alias("i")).agg(F.sum(value).alias("v"))
-    y = right.groupBy(F.col(by).alias("b"), F.col(right_key).alias("j")).agg(F.sum(value).alias("w"))
-    return x.join(y, "b").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g"))
+    x = cut(left.groupBy(F.col(by).alias("b"), F.col(left_key).alias("i")).agg(F.sum(value).alias("v")))
+    y = cut(right.groupBy(F.col(by).alias("b"), F.col(right_key).alias("j")).agg(F.sum(value).alias("w")))
+    return _paired(x, y).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g"))
 
 
 @dataclass
 class Blocks:
-    """xtx, ttt, xtu, utu as (block, i, j, g) with ids; items and features: their ids in order."""
+    """xtx, ttt, xtu, utu as (block, i, j, g) over the places of items and, after them, features; their ids in order."""
 
     cells: DataFrame
     items: list[str]
@@ -45,6 +67,7 @@ class Blocks:
 
 def blocks(interactions: DataFrame, user_features: DataFrame | None = None, item_features: DataFrame | None = None, items: list[str] | None = None, features: list[str] | None = None) -> Blocks:
     """The four Gram blocks. Items come from interactions and item features, and are counted before they are listed."""
+    spark = interactions.sparkSession
     x = interactions.select(F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.col("value").cast("double")).dropna()
     u = user_features.select(F.col("user_id").cast("string"), "feature_name", F.col("value").cast("double")).dropna() if user_features is not None else None
     t = item_features.select(F.col("item_id").cast("string"), "feature_name", F.col("value").cast("double")).dropna() if item_features is not None else None
@@ -54,18 +77,26 @@ def blocks(interactions: DataFrame, user_features: DataFrame | None = None, item
         items = _listed(ids)
     if features is None:
         features = _listed(u.select("feature_name")) if u is not None else []
-    parts = [gram(x, "user_id", "item_id").withColumn("block", F.lit("xtx"))]
+    at = lambda df, names, name, first: df.join(F.broadcast(places(spark, names, name, first)), name)
+    x = at(x, items, "item_id", 0)
+    parts = [gram(x, "user_id", "k").withColumn("block", F.lit("xtx"))]
     if t is not None:
-        parts.append(gram(t, "feature_name", "item_id").withColumn("block", F.lit("ttt")))
+        parts.append(gram(at(t, items, "item_id", 0), "feature_name", "k").withColumn("block", F.lit("ttt")))
     if u is not None:
-        parts.append(cross_gram(x, "item_id", u, "feature_name", "user_id").withColumn("block", F.lit("xtu")))
-        parts.append(gram(u, "user_id", "feature_name").withColumn("block", F.lit("utu")))
+        u = at(u, features, "feature_name", len(items))
+        parts.append(cross_gram(x, "k", u, "k", "user_id").withColumn("block", F.lit("xtu")))
+        parts.append(gram(u, "user_id", "k").withColumn("block", F.lit("utu")))
     cells = parts[0]
     for p in parts[1:]:
         cells = cells.unionByName(p)
     return Blocks(cut(cells.select("block", "i", "j", "g")), items, features)
 
 
+def places(spark, names: list[str], name: str, first: int = 0) -> DataFrame:
+    """name, k: ids with their places. Models are bounded by the solve, so the table is small enough to broadcast."""
+    return spark.createDataFrame(pd.DataFrame({name: pd.Series(names, dtype=object), "k": np.arange(first, first + len(names), dtype=np.int32)}), f"`{name}` string, k int")
+
+
 def _listed(ids: DataFrame) -> list[str]:
     most = int((SOLVE_BYTES / 24) ** 0.5)
     found = [r[0] for r in ids.distinct().limit(most + 1).collect()]
@@ -74,22 +105,17 @@ def _listed(ids: DataFrame) -> list[str]:
     return sorted(found, key=str.encode)
 
 
-def dense_gram(cells: pd.DataFrame, items: list[str], features: list[str], alpha: float, beta: float, meta_weight: float) -> np.ndarray:
-    m = len(items)
-    at = {("item", x): k for k, x in enumerate(items)} | {("feature", x): m + k for k, x in enumerate(features)}
-    g = np.zeros((m + len(features),) * 2)
+def dense_gram(cells: Iterable[pd.DataFrame], n: int, alpha: float, beta: float, meta_weight: float) -> np.ndarray:
+    """The symmetric matrix of so many places, filled batch by batch; a cell stands in one batch only."""
+    g = np.zeros((n, n))
     w = meta_weight if meta_weight > 0 else 1.0
     scale = {"xtx": 1.0, "ttt": w * alpha * alpha, "xtu": beta, "utu": beta * beta}
-    side = {"xtx": ("item", "item"), "ttt": ("item", "item"), "xtu": ("item", "feature"), "utu": ("feature", "feature")}
-    for block, part in cells.groupby("block"):
-        a, b = side[block]
-        i = np.array([at.get((a, x), -1) for x in part["i"]])
-        j = np.array([at.get((b, x), -1) for x in part["j"]])
-        ok = (i >= 0) & (j >= 0)
-        i, j, v = i[ok], j[ok], part["g"].to_numpy()[ok] * scale[block]
-        np.add.at(g, (i, j), v)
-        off = i != j
-        np.add.at(g, (j[off], i[off]), v[off])
+    for batch in cells:
+        for block, part in batch.groupby("block"):
+            i, j, v = part["i"].to_numpy(), part["j"].to_numpy(), part["g"].to_numpy() * scale[block]
+            g[i, j] += v
+            off = i != j
+            g[j[off], i[off]] += v[off]
     return g
 
 
@@ -104,66 +130,187 @@ def closed_form(g: np.ndarray, lam: float, threshold: float = 0.0) -> np.ndarray
     return s
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The flat values of a list column, and where each row starts."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)]
+
+
+def _score_block(shared, sources: int, k: int | None, exclude_seen: bool, digits: int | None):
+    """Packed users against the targets of one block: user_id, rank, k, score, the k best or (k null) all."""
+
+    def run(batches):
+        first, weights, extra = shared.value  # weights: one row per source, one column per target
+        width = weights.shape[1]
+        for b in batches:
+            users, rho = b["user_id"], b["rho"].to_numpy(zero_copy_only=False)
+            (at, start), (value, _), (seen, seen_start) = (_lists(b[c]) for c in ("at", "v", "seen"))
+            for lo in range(0, b.num_rows, 512):
+                hi = min(lo + 512, b.num_rows)
+                n, span = hi - lo, slice(start[lo], start[hi])
+                if (start[hi] - start[lo]) * 8 > n * sources:  # dense rows: one product
+                    z = np.zeros((n, sources))
+                    z[np.repeat(np.arange(n), np.diff(start[lo : hi + 1])), at[span]] = value[span]
+                    s = z @ weights
+                else:
+                    s = np.empty((n, width))
+                    for r in range(n):
+                        a, e = start[lo + r], start[lo + r + 1]
+                        s[r] = value[a:e] @ weights[at[a:e]]
+                # Items a user has seen, as far as they lie in this block.
+                row = np.repeat(np.arange(n), np.diff(seen_start[lo : hi + 1]))
+                item = seen[seen_start[lo] : seen_start[hi]] - first
+                here = (item >= 0) & (item < width)
+                row, item = row[here], item[here].astype(int)
+                s[row, item] -= rho[lo:hi][row]
+                if extra is not None:
+                    s += extra
+                if digits is not None:
+                    s = np.round(s, digits) + 0.0
+                if exclude_seen:
+                    s[row, item] = -np.inf
+                m = width if k is None else min(k, width)
+                if not m:
+                    continue
+                least = np.partition(s, width - m, 1)[:, width - m]
+                r, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # items in their order
+                order = np.lexsort((j, -s[r, j], r))
+                r, j = r[order], j[order]
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                r, j, nth = r[nth < m], j[nth < m], nth[nth < m]
+                yield pa.RecordBatch.from_arrays([users.take(pa.array(lo + r)), pa.array((nth + 1).astype(np.int32)), pa.array((j + first).astype(np.int32)), pa.array(s[r, j])], ["user_id", "rank", "k", "score"])
+
+    return run
+
+
 @dataclass
 class LinearModel:
-    """weights: (r, c, w), r an item (target), c an item or feature key (source); z uses beta times feature values."""
+    """rows: (r, w), for each item r the weights of all items and, after them, features; z uses beta times feature values.
+
+    transform tells how raw columns become features, for recommend_raw.
+    """
 
-    weights: DataFrame
+    rows: DataFrame
     items: list[str]
     features: list[str]
     beta: float = 1.0
+    transform: Transform | None = None
 
     @property
     def spark(self):
-        return self.weights.sparkSession
+        return self.rows.sparkSession
 
     def item_frame(self) -> DataFrame:
-        return self.spark.createDataFrame([(x, k) for k, x in enumerate(self.items)], "item_id string, item_idx int")
+        return places(self.spark, self.items, "item_id").withColumnRenamed("k", "item_idx")
 
-    def scores(self, interactions: DataFrame, features: DataFrame | None = None) -> DataFrame:
-        """user_id, item_id, score for items with any weight from a user's history or features; duplicates are summed."""
-        z = interactions.select(F.col("user_id").cast("string"), F.concat(F.lit("i:"), F.col("item_id")).alias("c"), F.col("value").cast("double").alias("v"))
+    def _long(self) -> DataFrame:
+        return self.rows.select("r", F.posexplode("w").alias("c", "w"))
+
+    @property
+    def weights(self) -> DataFrame:
+        """r, c, w: r an item (target), c `i:` item or `f:` feature (source); zero weights are left out."""
+        sources = places(self.spark, [f"i:{x}" for x in self.items] + [f"f:{x}" for x in self.features], "source")
+        targets = places(self.spark, self.items, "target").withColumnRenamed("k", "r")
+        rows = self._long().filter("w <> 0 or isnan(w)").join(F.broadcast(sources.withColumnRenamed("k", "c")), "c").join(F.broadcast(targets), "r")
+        return rows.select(F.col("target").alias("r"), F.col("source").alias("c"), "w")
+
+    def _packed(self, interactions: DataFrame, features: DataFrame | None, seen: DataFrame | None, users: DataFrame | None, rho: float | DataFrame) -> DataFrame:
+        """One row per user: places and summed values of what they used, places of what they have seen, and their penalty."""
+        user = F.col("user_id").cast("string").alias("user_id")
+        none = F.lit(None).cast("double").alias("v")
+        item = F.concat(F.lit("i:"), F.col("item_id").cast("string")).alias("source")
+        z = interactions.select(user, item, F.col("value").cast("double").alias("v"), F.lit(True).alias("old"))
         if features is not None:
-            z = z.union(features.select(F.col("user_id").cast("string"), F.concat(F.lit("f:"), F.col("feature_name")), F.col("value") * self.beta))
-        z = z.dropna().groupBy("user_id", "c").agg(F.sum("v").alias("v"))
-        s = hint(self.weights.select("c", F.col("r").alias("item_id"), "w"), 2_000_000)
-        return z.join(s, "c").groupBy("user_id", "item_id").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
+            z = z.union(features.select(user, F.concat(F.lit("f:"), F.col("feature_name")), F.col("value").cast("double") * self.beta, F.lit(False)))
+        if seen is not None:
+            z = z.union(seen.select(user, item, none, F.lit(True)))
+        if users is not None:
+            z = z.union(users.select(user, F.lit(None).cast("string"), none, F.lit(False)))
+        sources = places(self.spark, [f"i:{x}" for x in self.items] + [f"f:{x}" for x in self.features], "source")
+        z = z.filter("user_id is not null").join(F.broadcast(sources), "source", "left")
+        z = z.groupBy("user_id", "k").agg(F.sum(F.when(~F.isnan("v"), F.col("v"))).alias("v"), F.max("old").alias("old"))
+        used = F.collect_list(F.when(F.col("k").isNotNull() & F.col("v").isNotNull(), F.struct("k", "v")))
+        z = z.groupBy("user_id").agg(used.alias("x"), F.collect_list(F.when(F.col("old"), F.col("k"))).alias("seen"))
+        z = z.select("user_id", F.col("x.k").alias("at"), F.col("x.v").alias("v"), "seen")
+        if isinstance(rho, (int, float)):
+            return z.withColumn("rho", F.lit(float(rho)))
+        return z.join(hint(rho.select(user, F.col("rho").cast("double").alias("rho"))), "user_id", "left").withColumn("rho", F.coalesce("rho", F.lit(0.0)))
+
+    def _ranked(self, packed: DataFrame, k: int | None, exclude_seen: bool, mask: DataFrame | None, digits: int | None) -> DataFrame:
+        n = len(self.items) + len(self.features)
+        width = max(1, BLOCK_BYTES // (8 * max(n, 1)))
+        lows = range(0, max(len(self.items), 1), width)
+        packed = cut(packed) if len(lows) > 1 else packed
+        allowed = None
+        if mask is not None:
+            allowed = np.full(len(self.items), NOT_ELIGIBLE)
+            m = mask.select(F.col("item_id").cast("string").alias("item_id"), F.col("mask").cast("double").alias("mask")).join(F.broadcast(places(self.spark, self.items, "item_id")), "item_id").groupBy("k").agg(F.max("mask").alias("mask")).toPandas()
+            allowed[m["k"]] = (m["mask"].fillna(0.0).to_numpy() - 1.0) * -NOT_ELIGIBLE
+        out = None
+        for lo in lows:
+            # One block of the bounded model at a time: BLOCK_BYTES at most.
+            t = self.rows.filter(F.col("r").between(lo, lo + width - 1)).orderBy("r").toArrow()
+            flat = t["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0)
+            block = np.ascontiguousarray(flat.reshape(t.num_rows, n).T)
+            shared = self.spark.sparkContext.broadcast((lo, block, allowed[lo : lo + width] if allowed is not None else None))
+            part = packed.mapInArrow(_score_block(shared, n, k, exclude_seen, digits), "user_id string, rank int, k int, score double")
+            out = part if out is None else out.unionByName(part)
+        if len(lows) > 1:
+            out = rank_top(out.drop("rank"), k if k is not None else len(self.items), item="k")
+        return out.join(F.broadcast(places(self.spark, self.items, "item_id")), "k").select("user_id", "rank", "item_id", "score")
+
+    def scores(self, interactions: DataFrame, features: DataFrame | None = None) -> DataFrame:
+        """user_id, item_id, score for all items of the model and all users of the request; duplicates are summed."""
+        return self._ranked(self._packed(interactions, features, None, None, 0.0), None, False, None, None).drop("rank")
 
-    def recommend(self, interactions: DataFrame, features: DataFrame | None = None, k: int = 100, exclude_seen: bool = True, pad: bool = True) -> DataFrame:
+    def recommend(self, interactions: DataFrame, features: DataFrame | None = None, k: int = 100, exclude_seen: bool = True, seen: DataFrame | None = None, rho: float | DataFrame = 0.0, mask: DataFrame | None = None, users: DataFrame | None = None, digits: int | None = None) -> DataFrame:
         """user_id, rank, item_id, score: the k best items of each user of the request, equal scores by item order.
 
-        Unknown items and features are ignored. With pad, items without any weight count with score 0, as in a dense
-        product: the missing ones of a user come from the front of the item order, at most k + number seen of them.
+        All items of the model are candidates, those without any weight with score 0. Items of the interactions and of
+        `seen` (user_id, item_id) are left out, or with exclude_seen=False lose rho: one number or a table (user_id,
+        rho), a missing user losing nothing. mask (item_id, mask) adds (mask - 1) * 1e9, a missing item counting as 0.
+        `users` names users that have no other row. Unknown items and features are ignored, repeated rows are summed,
+        null and NaN values count as 0, and null users are left out. digits rounds scores before they are ranked, so
+        that ranks do not depend on the order of a sum.
         """
-        scored = self.scores(interactions, features)
-        if pad:
-            # Zeros stand above negative scores: per user at most k zero items can be needed, the first not scored or seen.
-            users = interactions.select(F.col("user_id").cast("string")) if features is None else interactions.select(F.col("user_id").cast("string")).union(features.select(F.col("user_id").cast("string")))
-            have = scored.groupBy("user_id").agg(F.collect_set("item_id").alias("have"))
-            every = F.from_json(F.lit(json.dumps(self.items)), "array<string>")
-            seen = interactions.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.collect_set(F.col("item_id").cast("string")).alias("seen"))
-            free = users.distinct().join(have, "user_id", "left").join(seen, "user_id", "left")
-            rest = F.array_except(every, F.coalesce("have", F.array().cast("array<string>")))
-            rest = F.array_except(rest, F.coalesce("seen", F.array().cast("array<string>"))) if exclude_seen else rest
-            zeros = free.select("user_id", F.explode(F.slice(rest, 1, k)).alias("item_id"), F.lit(0.0).alias("score"))
-            scored = scored.unionByName(zeros)
-        if exclude_seen:
-            scored = scored.join(interactions.select(F.col("user_id").cast("string").alias("user_id"), F.col("item_id").cast("string").alias("item_id")).distinct(), ["user_id", "item_id"], "left_anti")
-        return rank_top(scored, k)
+        return self._ranked(self._packed(interactions, features, seen, users, rho), k, exclude_seen, mask, digits)
+
+    def recommend_raw(self, interactions: DataFrame, raw: DataFrame, k: int = 100, **options) -> DataFrame:
+        """recommend() for raw columns (user_id and any others): by the model's transform, else columns are features.
+
+        Without a transform numbers and texts that read as numbers become features named like their column; other
+        values are ignored.
+        """
+        if self.transform is not None:
+            return self.recommend(interactions, self.transform.apply(raw, "user_id"), k, users=raw.select("user_id"), **options)
+        cells = [F.struct(F.lit(c).alias("feature_name"), F.col(c).cast("string").try_cast("double").alias("value")) for c in raw.columns if c != "user_id"]
+        if not cells:
+            return self.recommend(interactions, None, k, users=raw.select("user_id"), **options)
+        rows = raw.select("user_id", F.explode(F.array(*cells)).alias("f")).select("user_id", "f.feature_name", "f.value").dropna()
+        return self.recommend(interactions, rows, k, users=raw.select("user_id"), **options)
+
+    def neighbours(self, k: int = 20, items: list[str] | None = None, digits: int | None = None) -> DataFrame:
+        """item, rank, item_id, score: the items to which each item gives the largest weights, itself left out."""
+        names = places(self.spark, self.items, "item").withColumnRenamed("k", "c")
+        names = names.filter(F.col("item").isin(items)) if items is not None else names
+        rows = self._long().join(F.broadcast(names), "c").filter("c <> r")
+        score = F.col("w") if digits is None else F.round("w", digits)
+        top = rank_top(rows.select("item", "r", score.alias("score")), k, by="item", item="r")
+        return top.join(F.broadcast(places(self.spark, self.items, "item_id").withColumnRenamed("k", "r")), "r").select("item", "rank", "item_id", "score")
 
     def similar(self, item: str, k: int = 20) -> DataFrame:
         """rank, item_id, score by the weights that the item gives to others; an unknown item gives no row."""
-        order = W.partitionBy("one").orderBy(F.col("w").desc(), "r")
-        rows = self.weights.filter((F.col("c") == f"i:{item}") & (F.col("r") != item)).withColumn("one", F.lit(1)).withColumn("rank", F.row_number().over(order))
-        return rows.filter(F.col("rank") <= k).select("rank", F.col("r").alias("item_id"), F.col("w").alias("score"))
+        return self.neighbours(k, [item]).drop("item")
 
     def validate(self) -> dict:
-        """Self-check: no weight of an item on itself, no NaN or infinity, not all zero."""
+        """Self-check: all rows of the right length, no weight of an item on itself, no NaN or infinity, not all zero."""
         w = F.col("w")
         bad = F.isnan(w) | (F.abs(w) == float("inf"))
-        row = self.weights.agg(F.count(F.when(bad, 1)).alias("bad"), F.max(F.when(F.col("c") == F.concat(F.lit("i:"), "r"), F.abs(w))).alias("diagonal"), F.max(F.when(~bad, F.abs(w))).alias("largest")).first()
-        ok = row["bad"] == 0 and (row["diagonal"] or 0) <= 1e-6 and (row["largest"] or 0) > 1e-12
-        return {"passed": bool(ok), "bad": row["bad"], "diagonal": row["diagonal"] or 0.0, "largest": row["largest"] or 0.0}
+        cells, n = self._long(), len(self.items) + len(self.features)
+        row = cells.agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(bad, 1)).alias("bad"), F.max(F.when(F.col("c") == F.col("r"), F.abs(w))).alias("diagonal"), F.max(F.when(~bad, F.abs(w))).alias("largest")).first()
+        whole = row["cells"] == len(self.items) * n and not self.rows.filter(F.size("w") != n).count()
+        ok = whole and row["bad"] == 0 and (row["diagonal"] or 0) <= 1e-6 and (row["largest"] or 0) > 1e-12
+        return {"passed": bool(ok), "bad": row["bad"], "diagonal": row["diagonal"] or 0.0, "largest": row["largest"] or 0.0, "whole": bool(whole)}
 
 
 def rank_top(scored: DataFrame, k: int, score: str = "score", by: str = "user_id", item: str = "item_id") -> DataFrame:
@@ -174,17 +321,16 @@ def rank_top(scored: DataFrame, k: int, score: str = "score", by: str = "user_id
 
 def solve(b: Blocks, alpha: float = 1.0, beta: float = 1.0, lam: float = 100.0, meta_weight: float = 0.0, threshold: float = 0.0) -> LinearModel:
     """The dense solve in one worker task. A singular matrix raises."""
-    items, features = b.items, b.features
+    m, n = len(b.items), len(b.items) + len(b.features)
 
     def run(batches):
-        cells = pd.concat([*batches, pd.DataFrame({"block": [], "i": [], "j": [], "g": []})])
-        s = closed_form(dense_gram(cells, items, features, alpha, beta, meta_weight), lam, threshold)
-        c = np.array([f"i:{x}" for x in items] + [f"f:{x}" for x in features], object)
-        for k, x in enumerate(items):  # the rows of features are never a target
-            yield pd.DataFrame({"r": x, "c": c, "w": s[k]})
-
-    w = b.cells.coalesce(1).mapInPandas(run, "r string, c string, w double")
-    return LinearModel(cut(w.filter("w <> 0 or isnan(w)")), items, features, beta)
+        s = closed_form(dense_gram((x.to_pandas() for x in batches), n, alpha, beta, meta_weight), lam, threshold)
+        for a in range(0, m, 256):  # the rows of features are never a target
+            part = s[a : min(a + 256, m)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * n), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part), dtype=np.int32)), lists], ["r", "w"])
+
+    return LinearModel(cut(b.cells.coalesce(1).mapInArrow(run, "r int, w array<double>")), b.items, b.features, beta)
 
 
 def train(interactions: DataFrame, user_features: DataFrame | None = None, item_features: DataFrame | None = None, alpha: float = 1.0, beta: float = 1.0, lam: float = 100.0, meta_weight: float = 0.0, threshold: float = 0.0, event_weights: dict[str, float] | None = None, decay_rate: float = 0.0, ips_alpha: float = 0.0) -> LinearModel:

@@ -230,16 +230,14 @@ rk AS (SELECT u, i, round(score, 6) AS score, row_number() OVER (PARTITION BY u
 SELECT u AS user_id, CAST(rnk AS INTEGER) AS rank, i AS item_id, score FROM rk WHERE rnk <= 10""")
 def ease_topk_warm(spark, d):
     x = orders(spark, d)
-    scored = _model(spark, d).scores(x).join(x.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    return linear.rank_top(scored.withColumn("score", F.round("score", 6)), 10)
+    return linear.train(x, lam=LAMBDA).recommend(x, k=10, digits=6)
 
 
 @query(_S + """, rk AS (SELECT a.i AS item, b.i AS item_id, round(w, 6) AS score, row_number() OVER (PARTITION BY a.i ORDER BY round(w, 6) DESC, b.i) AS rnk
   FROM s JOIN items a ON a.k = c JOIN items b ON b.k = r)
 SELECT item, CAST(rnk AS INTEGER) AS rank, item_id, score FROM rk WHERE rnk <= 5""")
 def similar_items(spark, d):
-    w = _model(spark, d).weights.select(F.substring("c", 3, 1000).alias("item"), F.col("r").alias("item_id"), F.round("w", 6).alias("score"))
-    return linear.rank_top(w, 5, by="item")
+    return _model(spark, d).neighbours(5, digits=6)
 
 
 @query()
@@ -247,7 +245,7 @@ def ease_topk_cold(spark, d):
     """Customers by their features alone."""
     u = customer_features(spark, d)
     model = linear.train(orders(spark, d), u, supplier_features(spark, d), lam=LAMBDA)
-    return model.recommend(orders(spark, d).limit(0), u, 10).withColumn("score", F.round("score", 6))
+    return model.recommend(orders(spark, d).limit(0), u, 10, digits=6)
 
 
 @query()
