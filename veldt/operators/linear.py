@@ -136,6 +136,19 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)]
 
 
+def best_of(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, place from 0) of the k best of each row, equal ones by column; -inf is never taken."""
+    k = min(k, s.shape[1])
+    if k < 1 or not len(s):
+        return (np.zeros(0, int),) * 3
+    least = np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k]
+    r, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    order = np.lexsort((j, -s[r, j], r))
+    r, j = r[order], j[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[nth < k], j[nth < k], nth[nth < k]
+
+
 def _score_block(shared, sources: int, k: int | None, exclude_seen: bool, digits: int | None):
     """Packed users against the targets of one block: user_id, rank, k, score, the k best or (k null) all."""
 
@@ -169,15 +182,7 @@ def _score_block(shared, sources: int, k: int | None, exclude_seen: bool, digits
                     s = np.round(s, digits) + 0.0
                 if exclude_seen:
                     s[row, item] = -np.inf
-                m = width if k is None else min(k, width)
-                if not m:
-                    continue
-                least = np.partition(s, width - m, 1)[:, width - m]
-                r, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # items in their order
-                order = np.lexsort((j, -s[r, j], r))
-                r, j = r[order], j[order]
-                nth = np.arange(len(r)) - np.searchsorted(r, r)
-                r, j, nth = r[nth < m], j[nth < m], nth[nth < m]
+                r, j, nth = best_of(s, width if k is None else k)
                 yield pa.RecordBatch.from_arrays([users.take(pa.array(lo + r)), pa.array((nth + 1).astype(np.int32)), pa.array((j + first).astype(np.int32)), pa.array(s[r, j])], ["user_id", "rank", "k", "score"])
 
     return run

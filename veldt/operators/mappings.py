@@ -3,9 +3,13 @@
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veldt.session import cut
+from veldt.session import cut, hint, release
+
+#: Ids that one task numbers.
+RANGE = 250_000
 
 
 def index(*ids: tuple[DataFrame, str]) -> DataFrame:
@@ -14,19 +18,19 @@ def index(*ids: tuple[DataFrame, str]) -> DataFrame:
     Ids are sorted by ranges in parallel; each range starts at the number of ids before it.
     """
     all_ids = reduce(DataFrame.union, [df.select(F.col(c).cast("string").alias("id")) for df, c in ids]).dropna().distinct()
-    ranged = cut(all_ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id()))
-    # One row per range, at most spark.sql.shuffle.partitions.
-    starts, at = {}, 0
-    for r in ranged.groupBy("p").count().orderBy("p").collect():
-        starts[r["p"]], at = at, at + r["count"]
-    first = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else F.create_map(F.lit(0), F.lit(0))
+    ids = cut(all_ids)
+    parts = max(1, -(-ids.count() // RANGE))
+    ranged = cut(ids.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id()))
+    release(ids)
+    sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("c"))  # one row per range
+    before = F.coalesce(F.sum("c").over(W.partitionBy(F.lit(1)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
     def number(pdf):
         pdf = pdf.sort_values("id", key=lambda s: s.map(str.encode), ignore_index=True)
         pdf["idx"] = pdf.index.astype("int64") + pdf["first"]
         return pdf[["id", "idx"]]
 
-    return ranged.withColumn("first", first[F.col("p")].cast("bigint")).groupBy("p").applyInPandas(lambda k, pdf: number(pdf), "id string, idx bigint")
+    return ranged.join(hint(sizes.select("p", before.alias("first"))), "p").groupBy("p").applyInPandas(number, "id string, idx bigint")
 
 
 def known(df: DataFrame, column: str, mapping: DataFrame, to: str) -> DataFrame:

@@ -125,6 +125,15 @@ class Adam:
             t.grad = None
 
 
+def _filled(model, arrays: dict[str, np.ndarray]):
+    """The model with stored parameters; arrays that do not fit raise."""
+    for k, t in model.p.items():
+        if f"p_{k}" not in arrays or arrays[f"p_{k}"].shape != t.data.shape:
+            raise ValueError(f"parameter {k} is missing or of another shape")
+        t.data = arrays[f"p_{k}"]
+    return model
+
+
 class TwoTower:
     """Users and items as unit vectors from an id, pooled categories and numbers; user row 0 is the cold start."""
 
@@ -172,16 +181,22 @@ class TwoTower:
     def vectors(self, side: str, ids: np.ndarray, cats=None, dense=None) -> np.ndarray:
         return self.tower(side, ids, cats, dense).data
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"sizes": np.array(self.sizes), "shape": np.array([self.dim, self.temperature])} | {f"p_{k}": t.data for k, t in self.p.items()}
+
+    @staticmethod
+    def of(arrays: dict[str, np.ndarray]) -> "TwoTower":
+        dim, temperature = arrays["shape"]
+        return _filled(TwoTower(*[int(x) for x in arrays["sizes"]], dim=int(dim), temperature=float(temperature)), arrays)
+
     def save(self, path: str) -> None:
-        np.savez(path, sizes=np.array(self.sizes), dim=self.dim, temperature=self.temperature, **{f"p_{k}": t.data for k, t in self.p.items()})
+        """To one local file; models over DataFrames are saved through Spark's file system instead."""
+        np.savez(path, **self.arrays())
 
     @staticmethod
     def load(path: str) -> "TwoTower":
         with np.load(path) as z:
-            model = TwoTower(*[int(x) for x in z["sizes"]], dim=int(z["dim"]), temperature=float(z["temperature"]))
-            for k, t in model.p.items():
-                t.data = z[f"p_{k}"]
-        return model
+            return TwoTower.of(dict(z))
 
 
 class SequenceModel:
@@ -203,12 +218,13 @@ class SequenceModel:
             for n in "ab":
                 self.p |= {f"scale_{n}{k}": Tape(np.ones(dim)), f"shift_{n}{k}": Tape(np.zeros(dim))}
 
-    def forward(self, tokens: np.ndarray) -> Tape:
+    def forward(self, tokens: np.ndarray, drop=lambda x: x, last: bool = False) -> Tape:
+        """Logits at every position, or (last, without gradients before it) at the last one; drop is applied to each sublayer."""
         vocab, dim, length, heads, layers = self.config
         if tokens.shape[1] > length:
             raise ValueError(f"sequences may have at most {length} tokens")
         n = tokens.shape[1]
-        x = add(take(self.p["e"], tokens), take(self.p["pos"], np.arange(n)))
+        x = drop(add(take(self.p["e"], tokens), take(self.p["pos"], np.arange(n))))
         later = Tape(np.triu(np.full((n, n), -1e9), 1))
         scale = Tape(np.array(1 / np.sqrt(dim // heads)))
         for k in range(layers):
@@ -218,19 +234,27 @@ class SequenceModel:
                 a = softmax(add(mul(matmul(q, swap(key)), scale), later))
                 one = matmul(matmul(a, v), self.p[f"m{k}.{h}"])
                 parts = one if parts is None else add(parts, one)
-            x = layer_norm(add(x, parts), self.p[f"scale_a{k}"], self.p[f"shift_a{k}"])
+            x = layer_norm(add(x, drop(parts)), self.p[f"scale_a{k}"], self.p[f"shift_a{k}"])
             f = add(matmul(relu(add(matmul(x, self.p[f"f{k}"]), self.p[f"fb{k}"])), self.p[f"g{k}"]), self.p[f"gb{k}"])
-            x = layer_norm(add(x, f), self.p[f"scale_b{k}"], self.p[f"shift_b{k}"])
+            x = layer_norm(add(x, drop(f)), self.p[f"scale_b{k}"], self.p[f"shift_b{k}"])
+        x = Tape(x.data[:, -1]) if last else x
         return add(matmul(x, self.p["out"]), self.p["outb"])
 
-    def fit(self, inputs: np.ndarray, targets: np.ndarray, epochs: int = 50, batch: int = 16, rate: float = 1e-3, patience: int = 5, seed: int = 42) -> list[float]:
+    def fit(self, inputs: np.ndarray, targets: np.ndarray, epochs: int = 50, batch: int = 16, rate: float = 1e-3, patience: int = 5, seed: int = 42, dropout: float = 0.0) -> list[float]:
         """Adam on the next item at every position that is not padding; stops when the loss no longer falls."""
+        if not 0 <= dropout < 1:
+            raise ValueError("dropout must be at least 0 and below 1")
         rng, opt, out, best, waited = np.random.default_rng(seed), Adam(self.p, rate), [], np.inf, 0
+        noise = np.random.default_rng((seed, 1))
+
+        def drop(x: Tape) -> Tape:
+            return mul(x, Tape((noise.random(x.data.shape) >= dropout) / (1 - dropout))) if dropout else x
+
         for _ in range(epochs):
             order, losses = rng.permutation(len(inputs)), []
             for a in range(0, len(inputs), batch):
                 i = order[a : a + batch]
-                logits = self.forward(inputs[i])
+                logits = self.forward(inputs[i], drop)
                 rows = Tape(logits.data.reshape(-1, self.config[0]), (logits,), lambda g, s=logits.data.shape: (g.reshape(s),))
                 y = targets[i].ravel()
                 loss = cross_entropy(rows, y, (y > 0).astype(float))
@@ -246,22 +270,30 @@ class SequenceModel:
                     break
         return out
 
-    def score(self, history: list[int]) -> np.ndarray:
-        """Scores of all tokens after a history (newest last); an empty one gives the scores without context."""
+    def score_all(self, histories: list[list[int]]) -> np.ndarray:
+        """Scores of all tokens after each history (newest last); an empty one gives the scores without context."""
         length = self.config[2]
-        row = np.zeros((1, length), np.int64)
-        recent = history[-length:]
-        if recent:
-            row[0, -len(recent) :] = recent
-        return self.forward(row).data[0, -1]
+        rows = np.zeros((len(histories), length), np.int64)
+        for row, history in zip(rows, histories):
+            if len(recent := history[-length:]):
+                row[-len(recent) :] = recent
+        return self.forward(rows, last=True).data
+
+    def score(self, history: list[int]) -> np.ndarray:
+        return self.score_all([history])[0]
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"config": np.array(self.config)} | {f"p_{k}": t.data for k, t in self.p.items()}
+
+    @staticmethod
+    def of(arrays: dict[str, np.ndarray]) -> "SequenceModel":
+        return _filled(SequenceModel(*[int(x) for x in arrays["config"]]), arrays)
 
     def save(self, path: str) -> None:
-        np.savez(path, config=np.array(self.config), **{f"p_{k}": t.data for k, t in self.p.items()})
+        """To one local file; models over DataFrames are saved through Spark's file system instead."""
+        np.savez(path, **self.arrays())
 
     @staticmethod
     def load(path: str) -> "SequenceModel":
         with np.load(path) as z:
-            model = SequenceModel(*[int(x) for x in z["config"]])
-            for k, t in model.p.items():
-                t.data = z[f"p_{k}"]
-        return model
+            return SequenceModel.of(dict(z))

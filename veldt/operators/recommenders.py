@@ -1,21 +1,29 @@
-"""The sequence and two-tower models over DataFrames: train in one worker task, score and save by ids."""
+"""The sequence and two-tower models over DataFrames: train in one worker task, score whole tables in batches, save by ids."""
 
-import json
 import pickle
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.operators.linear import rank_top
+from veldt.operators import ann
+from veldt.operators.linear import LinearModel, best_of, places, rank_top
 from veldt.operators.mappings import index
 from veldt.operators.neural import SequenceModel, TwoTower
-from veldt.operators.sequences import feature_table, padded_sequences, positive_pairs
+from veldt.operators.sequences import feature_table, histories, padded_sequences, positive_pairs
+from veldt.session import cut, hint
+from veldt.sources.persist import read_arrays, read_meta, write_arrays, write_meta
 
 #: Rows on which one worker task may train; more raise, so that no task is overrun silently.
 MOST_ROWS = 2_000_000
+#: Bytes of parameters that a model may have: they are sent to every worker.
+MODEL_BYTES = 500_000_000
+#: Rows scored at once, and items of one product.
+BATCH, WIDTH = 256, 8192
+
+RANKED = "user_id string, rank int, k int, score double"
 
 
 def _train(df: DataFrame, run) -> tuple:
@@ -31,30 +39,94 @@ def _train(df: DataFrame, run) -> tuple:
     return pickle.loads(bytes(got[0]["model"])) if got else run(pd.DataFrame())
 
 
+def _names(mapping: DataFrame, dim: int) -> list[str]:
+    """The ids of a mapping in order; more than a model can hold raise, and none is left out."""
+    most = MODEL_BYTES // (8 * dim)
+    rows = mapping.orderBy("idx").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} ids exceed {MODEL_BYTES} bytes of parameters")
+    return [r["id"] for r in rows]
+
+
+def _best_blocks(product, n: int, items: int, without: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, item, place and score of the k best items of n rows, from products over blocks of WIDTH items."""
+    rows, cols, scores = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    for lo in range(0, items, WIDTH):
+        s = product(lo, min(lo + WIDTH, items))
+        for i, old in enumerate(without):
+            here = np.asarray(old, int) - lo
+            s[i, here[(here >= 0) & (here < s.shape[1])]] = -np.inf
+        r, j, _ = best_of(s, k)
+        rows, cols, scores = np.r_[rows, r], np.r_[cols, j + lo], np.r_[scores, s[r, j]]
+    order = np.lexsort((cols, -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = nth < k
+    return rows[keep], cols[keep], nth[keep], scores[keep]
+
+
+def _seen(interactions: DataFrame, items: list[str]) -> DataFrame:
+    """u, seen: the places of the known items of each user; as many as the model has items, at most."""
+    rows = interactions.select(F.col("user_id").cast("string").alias("u"), F.col("item_id").cast("string").alias("item_id"))
+    return rows.join(F.broadcast(places(interactions.sparkSession, items, "item_id")), "item_id").groupBy("u").agg(F.collect_set("k").alias("seen"))
+
+
+def _asking(interactions: DataFrame, features: DataFrame | None, users: DataFrame | None) -> DataFrame:
+    """user_id: all users of a request."""
+    rows = interactions.select(F.col("user_id").cast("string").alias("user_id"))
+    for more in (features, users):
+        rows = rows if more is None else rows.union(more.select(F.col("user_id").cast("string")))
+    return rows.filter("user_id is not null").distinct()
+
+
+class _Vectors:
+    """What the models with item vectors share: similar items, by cosine, for one item or as a table for all."""
+
+    def similar(self, item: str, k: int = 20) -> list[tuple[str, float]]:
+        """By cosine of item vectors; an unknown item gives none."""
+        if item not in self.items:
+            return []
+        x = self.item_vectors()
+        v = x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-12)
+        i = self.items.index(item)
+        return _ranked(v @ v[i], self.items, {i}, k)
+
+    def vector_frame(self, spark) -> DataFrame:
+        """id, v: the item vectors by place."""
+        return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(self.items)), "v": self.item_vectors().tolist()}), "id bigint, v array<double>")
+
+    def neighbours(self, spark, k: int = 20) -> DataFrame:
+        """item, rank, item_id, score: the k nearest of every item."""
+        v = self.vector_frame(spark)
+        top = ann.top_k(v, v, k, cosine=True, exclude_self=True)
+        a, b = (F.broadcast(places(spark, self.items, n).withColumnRenamed("k", c)) for n, c in (("item", "query_id"), ("near", "near_id")))
+        return top.withColumnRenamed("item_id", "near_id").join(a, "query_id").join(b, "near_id").select("item", "rank", F.col("near").alias("item_id"), "score")
+
+
 @dataclass
-class SequenceRecommender:
+class SequenceRecommender(_Vectors):
     model: SequenceModel
     items: list[str]
     losses: list[float]
 
     @staticmethod
-    def train(interactions: DataFrame, dim: int = 64, length: int = 50, heads: int = 2, layers: int = 2, epochs: int = 50, batch: int = 16, rate: float = 1e-3, patience: int = 5, seed: int = 42) -> "SequenceRecommender":
+    def train(interactions: DataFrame, dim: int = 64, length: int = 50, heads: int = 2, layers: int = 2, dropout: float = 0.2, epochs: int = 50, batch: int = 16, rate: float = 1e-3, patience: int = 5, seed: int = 42) -> "SequenceRecommender":
         if "days_ago" not in interactions.columns:
             raise ValueError("days_ago is needed to order histories")
         mapping = index((interactions, "item_id"))
-        items = [r["id"] for r in mapping.orderBy("idx").limit(MOST_ROWS).collect()]
+        items = _names(mapping, dim)
         rows = padded_sequences(interactions, mapping, length).orderBy("user_id")
 
         def run(pdf):
             model = SequenceModel(len(items) + 1, dim, length, heads, layers, seed)
-            losses = model.fit(np.array(pdf["input"].tolist()), np.array(pdf["target"].tolist()), epochs, batch, rate, patience, seed) if len(pdf) else []
-            return {k: t.data for k, t in model.p.items()}, losses
+            losses = model.fit(np.array(pdf["input"].tolist()), np.array(pdf["target"].tolist()), epochs, batch, rate, patience, seed, dropout) if len(pdf) else []
+            return model.arrays(), losses
 
         arrays, losses = _train(rows, run)
-        model = SequenceModel(len(items) + 1, dim, length, heads, layers, seed)
-        for k, t in model.p.items():
-            t.data = arrays[k]
-        return SequenceRecommender(model, items, losses)
+        return SequenceRecommender(SequenceModel.of(arrays), items, losses)
+
+    def item_vectors(self) -> np.ndarray:
+        return self.model.p["e"].data[1:]
 
     def predict(self, history: list[str], top_k: int = 100) -> list[tuple[str, float]]:
         """The best items that are not in the history (oldest first); unknown ids are skipped."""
@@ -62,87 +134,100 @@ class SequenceRecommender:
         tokens = [at[x] for x in history if x in at]
         return _ranked(self.model.score(tokens)[1:], self.items, {t - 1 for t in tokens}, top_k)
 
-    def recommend(self, interactions: DataFrame, features: DataFrame | None = None, k: int = 100) -> DataFrame:
-        """user_id, rank, item_id, score for the users of the interactions, seen items excluded."""
-        mapping = interactions.sparkSession.createDataFrame([(x, i) for i, x in enumerate(self.items)], "id string, idx bigint")
-        length, model, items = self.model.config[2], self.model, self.items
-        rows = padded_sequences(interactions.unionByName(interactions.groupBy("user_id").agg(F.max("item_id").alias("item_id"), F.lit(-1e18).alias("days_ago")), allowMissingColumns=True), mapping, length)
-        # The target row, shifted by a stand-in for the next item, is the whole history.
-        seen = interactions.join(mapping, F.col("item_id") == F.col("id")).groupBy(F.col("user_id").alias("u")).agg(F.collect_set("idx").alias("seen"))
+    def recommend(self, interactions: DataFrame, features: DataFrame | None = None, k: int = 100, users: DataFrame | None = None, exclude_seen: bool = True) -> DataFrame:
+        """user_id, rank, item_id, score for all users of the request; features are not used.
+
+        A user without known items gets the scores without context. Histories are ordered by days_ago, scored in
+        batches in the tasks, and only the k best leave them.
+        """
+        spark, n = interactions.sparkSession, len(self.items)
+        mapping = places(spark, self.items, "id").withColumnRenamed("k", "idx")
+        hist = histories(interactions, hint(mapping), self.model.config[2]).select(F.col("user_id").cast("string").alias("u"), "h")
+        rows = _asking(interactions, None, users).join(hist, F.col("user_id") == F.col("u"), "left").drop("u")
+        rows = rows.join(_seen(interactions, self.items), F.col("user_id") == F.col("u"), "left").select("user_id", "h", "seen")
+        shared = spark.sparkContext.broadcast(self.model.arrays())
 
         def run(batches):
+            model = SequenceModel.of(shared.value)
             for pdf in batches:
-                out = []
-                for user, tokens, old in zip(pdf["user_id"], pdf["input"], pdf["seen"]):
-                    for r, (item, score) in enumerate(_ranked(model.score([t for t in tokens if t])[1:], items, set(old), k), 1):
-                        out.append((user, r, item, score))
-                yield pd.DataFrame(out, columns=["user_id", "rank", "item_id", "score"])
-
-        return rows.join(seen, F.col("user_id") == F.col("u")).select("user_id", "input", "seen").mapInPandas(run, "user_id string, rank int, item_id string, score double")
+                for a in range(0, len(pdf), BATCH):
+                    part = pdf.iloc[a : a + BATCH]
+                    s = model.score_all([[] if h is None else list(h) for h in part["h"]])[:, 1:]
+                    old = [[] if x is None or not exclude_seen else x for x in part["seen"]]
+                    r, j, nth, score = _best_blocks(lambda lo, hi: s[:, lo:hi].copy(), len(part), n, old, k)
+                    yield pd.DataFrame({"user_id": part["user_id"].to_numpy()[r], "rank": (nth + 1).astype(np.int32), "k": j.astype(np.int32), "score": score})
 
-    def similar(self, item: str, k: int = 20) -> list[tuple[str, float]]:
-        """By cosine of item embeddings; an unknown item gives none."""
-        return _similar(self.model.p["e"].data[1:], self.items, item, k)
+        return _named(rows.mapInPandas(run, RANKED), self.items)
 
     def validate(self) -> bool:
         return bool(self.items) and len(self.items) + 1 == self.model.config[0] and all(np.isfinite(t.data).all() for t in self.model.p.values())
 
     def save(self, path: str) -> None:
-        self.model.save(path + ".npz")
-        with open(path + ".json", "w") as f:
-            json.dump({"family": "sequence", "items": self.items}, f)
+        _save(path, self, {"family": "sequence", "items": self.items})
 
     @staticmethod
     def load(path: str) -> "SequenceRecommender":
-        with open(path + ".json") as f:
-            meta = json.load(f)
-        if meta["family"] != "sequence":
-            raise ValueError(f"a {meta['family']} model")
-        return SequenceRecommender(SequenceModel.load(path + ".npz"), meta["items"], [])
+        meta, arrays = _load(path, "sequence")
+        out = SequenceRecommender(SequenceModel.of(arrays), meta["items"], [])
+        if not out.validate():
+            raise ValueError("the parameters do not fit the items")
+        return out
 
 
 @dataclass
-class TwoTowerRecommender:
+class TwoTowerRecommender(_Vectors):
     model: TwoTower
     users: list[str]
     items: list[str]
     slots: dict[str, tuple[bool, int]]
     vectors: np.ndarray
     losses: list[float]
+    #: How recommend() finds items: None scores all of them; "exact", "hyperplanes" and "codes" ask a vector index.
+    index: str | None = field(default=None)
 
     @staticmethod
     def train(interactions: DataFrame, user_features: DataFrame | None = None, item_features: DataFrame | None = None, dim: int = 32, temperature: float = 0.05, epochs: int = 50, batch: int = 256, rate: float = 0.01, id_dropout: float = 0.1, seed: int = 0) -> "TwoTowerRecommender":
+        """Trains on the positive pairs, each with the features of its user and item, joined in Spark."""
         pairs, users, items = positive_pairs(interactions)
-        spark: SparkSession = interactions.sparkSession
-        names = [[r["id"] for r in m.orderBy("idx").limit(MOST_ROWS).collect()] for m in (users, items)]
-        sides, slots = [], {}
-        for features, key, mapping, n in ((user_features, "user_id", users, len(names[0]) + 1), (item_features, "item_id", items, len(names[1]))):
-            cats, dense = np.zeros((n, 0)), np.zeros((n, 0))
+        names = [_names(m, dim) for m in (users, items)]
+        rows, known = pairs, []
+        for side, features, key, mapping in (("u", user_features, "user_id", users), ("i", item_features, "item_id", items)):
+            slots = {}
             if features is not None:
                 table, kinds = feature_table(features, key, mapping)
-                known = {r["feature_name"]: (r["categorical"], r["slot"]) for r in kinds.limit(MOST_ROWS).collect()}
-                slots = known if key == "user_id" else slots
-                cats = np.zeros((n, sum(c for c, _ in known.values())))
-                dense = np.zeros((n, len(known) - cats.shape[1]))
-                for r in table.limit(MOST_ROWS).collect():
-                    cats[r["entity_idx"], r["cat"]] = 1
-                    dense[r["entity_idx"]] = r["dense"]
-            sides.append((cats, dense))
-
-        sizes = (len(names[0]) + 1, len(names[1]), *[x.shape[1] for side in sides for x in side])
+                most = MODEL_BYTES // (8 * dim)
+                slots = {r["feature_name"]: (r["categorical"], r["slot"]) for r in kinds.limit(most + 1).collect()}
+                if len(slots) > most:
+                    raise ValueError(f"more than {most} features")
+                table = table.select(F.col("entity_idx").alias(f"{key[:4]}_idx"), F.col("cat").alias(f"{side}_cat"), F.col("dense").alias(f"{side}_dense"))
+                rows = rows.join(hint(table), f"{key[:4]}_idx", "left")
+            known.append(slots)
+        counts = [sum(c == want for c, _ in slots.values()) for slots in known for want in (True, False)]
+        sizes = (len(names[0]) + 1, len(names[1]), *counts)
 
         def run(pdf):
-            (uc, ud), (ic, id_) = sides
             model = TwoTower(*sizes, dim, temperature, seed)
-            data = pdf.sort_values(["user_idx", "item_idx"]).to_numpy(np.int64) if len(pdf) else np.zeros((0, 2), np.int64)
-            losses = model.fit(data, (uc, ud), (ic, id_), epochs, batch, rate, id_dropout, seed)
-            return {k: t.data for k, t in model.p.items()}, model.vectors("i", np.arange(len(names[1])), ic, id_) if names[1] else np.zeros((0, dim)), losses
-
-        arrays, vectors, losses = _train(pairs, run)
-        model = TwoTower(*sizes, dim, temperature, seed)
-        for k, t in model.p.items():
-            t.data = arrays[k]
-        return TwoTowerRecommender(model, *names, slots, vectors, losses)
+            if not len(pdf):
+                return model.arrays(), np.zeros((0, dim)), []
+            pdf = pdf.sort_values(["user_idx", "item_idx"], ignore_index=True)
+            sides = []
+            for side, n, (cats, numbers) in (("u", sizes[0], sizes[2:4]), ("i", sizes[1], sizes[4:6])):
+                cat, dense = np.zeros((n, cats)), np.zeros((n, numbers))
+                column = "user_idx" if side == "u" else "item_idx"
+                if f"{side}_cat" in pdf:
+                    for r in pdf.drop_duplicates(column)[[column, f"{side}_cat", f"{side}_dense"]].itertuples(index=False):
+                        if r[1] is not None:
+                            cat[r[0], np.asarray(r[1], int)] = 1
+                            dense[r[0]] = r[2]
+                sides.append((cat, dense))
+            losses = model.fit(pdf[["user_idx", "item_idx"]].to_numpy(np.int64), *sides, epochs, batch, rate, id_dropout, seed)
+            return model.arrays(), model.vectors("i", np.arange(sizes[1]), *sides[1]), losses
+
+        arrays, vectors, losses = _train(rows, run)
+        return TwoTowerRecommender(TwoTower.of(arrays), *names, known[0], vectors, losses)
+
+    def item_vectors(self) -> np.ndarray:
+        return self.vectors
 
     def user_vector(self, user: str | None, features: dict[str, float] | None = None) -> np.ndarray:
         """An unknown user is the cold-start row; unknown features and zero categories are skipped."""
@@ -161,25 +246,134 @@ class TwoTowerRecommender:
         """By plain dot product; nothing is excluded."""
         return _ranked(self.vectors @ self.user_vector(user, features), self.items, set(), top_k)
 
-    def similar(self, item: str, k: int = 20) -> list[tuple[str, float]]:
-        return _similar(self.vectors, self.items, item, k)
+    def request(self, interactions: DataFrame, features: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+        """user_id, idx, cat, dense, seen: features routed to category slots (values but 0) and numbers (the largest of repeats)."""
+        spark = interactions.sparkSession
+        ids = places(spark, self.users, "user_id", 1).withColumnRenamed("k", "idx")
+        rows = _asking(interactions, features, users).join(hint(ids), "user_id", "left").withColumn("idx", F.coalesce("idx", F.lit(0)))
+        if features is not None and self.slots:
+            slots = spark.createDataFrame([(n, c, s) for n, (c, s) in self.slots.items()], "feature_name string, categorical boolean, slot int")
+            cells = features.select(F.col("user_id").cast("string").alias("u"), "feature_name", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")).join(F.broadcast(slots), "feature_name")
+            cells = cells.groupBy("u", "categorical", "slot").agg(F.max("value").alias("value"), F.max(F.col("value") != 0).alias("any"))
+            cells = cells.groupBy("u").agg(F.collect_list(F.when(F.col("categorical") & F.col("any"), F.col("slot"))).alias("cat"), F.collect_list(F.when(~F.col("categorical"), F.struct("slot", "value"))).alias("dense"))
+            rows = rows.join(cells, F.col("user_id") == F.col("u"), "left").drop("u")
+        else:
+            rows = rows.withColumn("cat", F.lit(None).cast("array<int>")).withColumn("dense", F.lit(None).cast("array<struct<slot int, value double>>"))
+        return rows.join(_seen(interactions, self.items), F.col("user_id") == F.col("u"), "left").drop("u")
+
+    def _towers(self, shared):
+        """Batches of request() into (rows, user vectors)."""
+
+        def run(batches):
+            model = TwoTower.of(shared.value[0])
+            for pdf in batches:
+                for a in range(0, len(pdf), BATCH):
+                    part = pdf.iloc[a : a + BATCH]
+                    cats, dense = np.zeros((len(part), model.sizes[2])), np.zeros((len(part), model.sizes[3]))
+                    for i, (c, d) in enumerate(zip(part["cat"], part["dense"])):
+                        if c is not None:
+                            cats[i, np.asarray(c, int)] = 1
+                        for x in () if d is None else d:
+                            dense[i, x["slot"]] = x["value"]
+                    yield part, model.vectors("u", part["idx"].to_numpy(np.int64), cats, dense)
+
+        return run
+
+    def recommend(self, interactions: DataFrame, features: DataFrame | None = None, k: int = 100, users: DataFrame | None = None, exclude_seen: bool = True, exact: bool = False) -> DataFrame:
+        """user_id, rank, item_id, score for all users of the request, by plain dot product; unknown users are the cold-start row.
+
+        With an index (see enable_index) its candidates are ranked, as many more as the user with most seen items needs;
+        exact=True scores all items all the same.
+        """
+        spark = interactions.sparkSession
+        rows = self.request(interactions, features, users)
+        shared = spark.sparkContext.broadcast((self.model.arrays(), self.vectors))
+        towers, items = self._towers(shared), len(self.items)
+        if self.index is None or exact:
+
+            def run(batches):
+                v = shared.value[1]
+                for part, u in towers(batches):
+                    old = [[] if x is None or not exclude_seen else x for x in part["seen"]]
+                    r, j, nth, score = _best_blocks(lambda lo, hi: u @ v[lo:hi].T, len(part), items, old, k)
+                    yield pd.DataFrame({"user_id": part["user_id"].to_numpy()[r], "rank": (nth + 1).astype(np.int32), "k": j.astype(np.int32), "score": score})
+
+            return _named(rows.mapInPandas(run, RANKED), self.items)
+
+        def vectors(batches):
+            for part, u in towers(batches):
+                yield part[["user_id", "q", "seen"]].assign(v=list(u))
+
+        asked = cut(rows.withColumn("q", F.monotonically_increasing_id()).mapInPandas(vectors, "user_id string, q bigint, seen array<int>, v array<double>"))
+        most = asked.agg(F.max(F.size(F.coalesce("seen", F.array().cast("array<int>"))))).first()[0] or 0
+        want = min(items, k + (most if exclude_seen else 0))
+        queries, base = asked.select(F.col("q").alias("id"), "v"), self.vector_frame(spark)
+        if self.index == "hyperplanes":
+            found = ann.hyperplane_top_k(queries, base, want, self.model.dim)
+        else:
+            found = ann.top_k(queries, base, want, codes=self.index == "codes")
+        found = found.select(F.col("query_id").alias("q"), F.col("item_id").cast("int").alias("k"), "score").join(asked.drop("v"), "q")
+        if exclude_seen:
+            found = found.filter(~F.coalesce(F.array_contains("seen", F.col("k")), F.lit(False)))
+        return _named(rank_top(found, k, item="k"), self.items)
+
+    def enable_index(self, kind: str | None) -> "TwoTowerRecommender":
+        """Attaches "exact", "hyperplanes" or "codes" as the way to find items; None detaches it."""
+        if kind not in (None, "exact", "hyperplanes", "codes"):
+            raise ValueError(f"unknown index {kind}")
+        self.index = kind
+        return self
 
     def validate(self) -> bool:
         return bool(self.items) and len(self.vectors) == len(self.items) and bool(np.isfinite(self.vectors).all())
 
+    def payload(self) -> dict:
+        """What an outside scorer needs: ids, feature slots, and all arrays as little-endian doubles with their shapes."""
+        if not self.validate():
+            raise ValueError("the model fails its self-check")
+        arrays = self.model.arrays() | {"vectors": self.vectors}
+        return {"users": self.users, "items": self.items, "slots": self.slots, "arrays": {k: (list(a.shape), a.astype("<f8").tobytes()) for k, a in arrays.items()}}
+
+    @staticmethod
+    def of_payload(data: dict) -> "TwoTowerRecommender":
+        """The scorer that a payload describes."""
+        arrays = {k: np.frombuffer(b, "<f8").reshape(shape) for k, (shape, b) in data["arrays"].items()}
+        return TwoTowerRecommender(TwoTower.of(arrays), data["users"], data["items"], {k: tuple(v) for k, v in data["slots"].items()}, arrays["vectors"], [])
+
     def save(self, path: str) -> None:
-        self.model.save(path + ".npz")
-        np.save(path + ".items.npy", self.vectors)
-        with open(path + ".json", "w") as f:
-            json.dump({"family": "two-tower", "users": self.users, "items": self.items, "slots": self.slots}, f)
+        _save(path, self, {"family": "two-tower", "users": self.users, "items": self.items, "slots": self.slots}, {"vectors": self.vectors})
 
     @staticmethod
     def load(path: str) -> "TwoTowerRecommender":
-        with open(path + ".json") as f:
-            meta = json.load(f)
-        if meta["family"] != "two-tower":
-            raise ValueError(f"a {meta['family']} model")
-        return TwoTowerRecommender(TwoTower.load(path + ".npz"), meta["users"], meta["items"], {k: tuple(v) for k, v in meta["slots"].items()}, np.load(path + ".items.npy"), [])
+        meta, arrays = _load(path, "two-tower")
+        out = TwoTowerRecommender(TwoTower.of(arrays), meta["users"], meta["items"], {k: tuple(v) for k, v in meta["slots"].items()}, arrays["vectors"], [])
+        if not out.validate() or out.model.sizes[:2] != (len(out.users) + 1, len(out.items)):
+            raise ValueError("the parameters do not fit the ids")
+        return out
+
+
+#: Version of the saved neural models; others are refused.
+NEURAL_VERSION = 2
+
+
+def _save(path: str, model, meta: dict, more: dict[str, np.ndarray] | None = None) -> None:
+    if not model.validate():
+        raise ValueError("the model fails its self-check")
+    spark = SparkSession.active()
+    write_arrays(spark, path, model.model.arrays() | (more or {}))
+    write_meta(spark, path, meta | {"version": NEURAL_VERSION})
+
+
+def _load(path: str, family: str) -> tuple[dict, dict[str, np.ndarray]]:
+    spark = SparkSession.active()
+    meta = read_meta(spark, path)
+    if meta.get("family") != family or meta.get("version") != NEURAL_VERSION:
+        raise ValueError(f"not a {family} model of version {NEURAL_VERSION}: {meta.get('family')} {meta.get('version')}")
+    return meta, read_arrays(spark, path)
+
+
+def _named(ranked: DataFrame, items: list[str]) -> DataFrame:
+    return ranked.join(F.broadcast(places(ranked.sparkSession, items, "item_id")), "k").select("user_id", "rank", "item_id", "score")
 
 
 def _ranked(scores: np.ndarray, items: list[str], without: set[int], k: int) -> list[tuple[str, float]]:
@@ -187,16 +381,10 @@ def _ranked(scores: np.ndarray, items: list[str], without: set[int], k: int) ->
     return [(items[i], float(scores[i])) for i in order]
 
 
-def _similar(vectors: np.ndarray, items: list[str], item: str, k: int) -> list[tuple[str, float]]:
-    if item not in items:
-        return []
-    v = vectors / np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), 1e-12)
-    i = items.index(item)
-    return _ranked(v @ v[i], items, {i}, k)
-
-
 class Registry:
-    """Models by territory with one fallback territory."""
+    """Models of any family by territory, with one fallback territory."""
+
+    FAMILIES = {LinearModel: "linear", SequenceRecommender: "sequence", TwoTowerRecommender: "two_tower"}
 
     def __init__(self, fallback: str | None = None):
         self.models: dict[str, object] = {}
@@ -223,10 +411,30 @@ class Registry:
                 return self.models[key]
         raise KeyError(f"no model for {territory!r} and no fallback")
 
+    def family(self, territory: str) -> str:
+        model = self.route(territory)
+        return self.FAMILIES.get(type(model), type(model).__name__)
+
+    def _of(self, territory: str, family: str):
+        if (found := self.family(territory)) != family:
+            raise TypeError(f"{territory!r} has a {found} model: use predict_{found}()")
+        return self.route(territory)
+
+    def predict_linear(self, territory: str, requests: DataFrame, features: DataFrame | None = None, k: int = 100) -> DataFrame:
+        """recommend() of the territory's linear model."""
+        return self._of(territory, "linear").recommend(requests, features, k)
+
+    def predict_sequence(self, territory: str, history: list[str], k: int = 100) -> list[tuple[str, float]]:
+        return self._of(territory, "sequence").predict(history, k)
+
+    def predict_two_tower(self, territory: str, user: str | None, features: dict[str, float] | None = None, k: int = 100) -> list[tuple[str, float]]:
+        return self._of(territory, "two_tower").predict(user, features, k)
+
     def predict(self, territory: str, *args, **kwargs):
+        """The answer of the territory's model, in the form that its family takes."""
         model = self.route(territory)
         if not hasattr(model, "predict"):
-            raise TypeError(f"{type(model).__name__} answers tables: use recommend()")
+            raise TypeError(f"{territory!r} has a {self.family(territory)} model that answers tables: use predict_linear() or recommend()")
         return model.predict(*args, **kwargs)
 
     def similar(self, territory: str, item: str, k: int = 20):

@@ -5,6 +5,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldt.operators.mappings import index, known
+from veldt.session import cut, hint
+
+#: Rows of one user above which they are cut into so many spans of age.
+HOT, SPANS = 1_000_000, 256
 
 
 def padded_sequences(interactions: DataFrame, items: DataFrame, length: int, ties: tuple[str, ...] = ("item_id",)) -> DataFrame:
@@ -15,20 +19,44 @@ def padded_sequences(interactions: DataFrame, items: DataFrame, length: int, tie
     """
     if length < 1:
         raise ValueError("length must be at least 1")
-    rows = known(interactions.dropna(subset=["user_id", "item_id", "days_ago"]), "item_id", items, "__i").withColumn("token", F.col("__i") + 1)
-    newest = W.partitionBy("user_id").orderBy(F.col("days_ago"), *[F.col(t).desc() for t in ties])
-    kept = rows.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= length + 1)
-    hist = kept.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("o"), F.col("token").cast("bigint").alias("t")))), lambda x: x["t"]).alias("h")).filter(F.size("h") >= 2)
+    hist = histories(interactions, items, length + 1, ties).filter(F.size("h") >= 2)
     pad = lambda arr: F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.lit(length) - F.size(arr)), arr)
     front, back = F.slice("h", F.lit(1), F.size("h") - 1), F.slice("h", F.lit(2), F.size("h") - 1)
     return hist.select("user_id", pad(front).alias("input"), pad(back).alias("target"))
 
 
+def histories(interactions: DataFrame, items: DataFrame, length: int, ties: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """user_id, h: the tokens (item index plus 1) of the newest `length` known items of each user, oldest first."""
+    if length < 1:
+        raise ValueError("length must be at least 1")
+    rows = known(interactions.dropna(subset=["user_id", "item_id", "days_ago"]), "item_id", items, "__i").withColumn("token", F.col("__i") + 1)
+    newest = W.partitionBy("user_id").orderBy(F.col("days_ago"), *[F.col(t).desc() for t in ties])
+    kept = rows.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= length)
+    return kept.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("o"), F.col("token").cast("bigint").alias("t")))), lambda x: x["t"]).alias("h"))
+
+
 def next_items(interactions: DataFrame, ties: tuple[str, ...] = ("item_id",)) -> DataFrame:
-    """user_id, item_id, next_item_id: each interaction with the one that follows, oldest first."""
-    order = W.partitionBy("user_id").orderBy(F.col("days_ago").desc(), *ties)
-    rows = interactions.dropna(subset=["user_id", "item_id", "days_ago"]).withColumn("next_item_id", F.lead("item_id").over(order))
-    return rows.filter("next_item_id is not null").select("user_id", "item_id", "next_item_id")
+    """user_id, item_id, next_item_id: each interaction with the one that follows, oldest first.
+
+    Users with more than HOT rows are cut into spans of age, each sorted in a task of its own; the last row of a span is
+    followed by the first of the next.
+    """
+    rows = interactions.dropna(subset=["user_id", "item_id", "days_ago"])
+    following = lambda *by: F.lead("item_id").over(W.partitionBy(*by).orderBy(F.col("days_ago").desc(), *ties))
+    hot = cut(rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("user_id"))
+    if hot.isEmpty():
+        out = rows.withColumn("next_item_id", following("user_id"))
+    else:
+        many = rows.join(hint(hot), "user_id", "left_semi")
+        edges = cut(many.groupBy("user_id").agg(F.percentile_approx("days_ago", [x / SPANS for x in range(1, SPANS)], 10_000).alias("edges")))
+        many = many.join(hint(edges), "user_id").withColumn("span", -F.size(F.filter("edges", lambda e: e < F.col("days_ago")))).drop("edges")
+        first = F.min_by("item_id", F.struct((-F.col("days_ago")).alias("o"), *ties))
+        starts = many.groupBy("user_id", "span").agg(first.alias("first"))
+        starts = cut(starts.select("user_id", "span", F.lead("first").over(W.partitionBy("user_id").orderBy("span")).alias("then")))
+        many = many.join(hint(starts), ["user_id", "span"]).withColumn("next_item_id", F.coalesce(following("user_id", "span"), "then")).drop("span", "then")
+        few = rows.join(hint(hot), "user_id", "left_anti").withColumn("next_item_id", following("user_id"))
+        out = few.unionByName(many)
+    return out.filter("next_item_id is not null").select("user_id", "item_id", "next_item_id")
 
 
 def positive_pairs(interactions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Deterministic splits: hashes order rows, so a result does not depend on partitions or a clock."""
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -7,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veldt.session import cut, hint
+
+
+#: Rows of one user above which they are ranked in hash ranges, each in a task of its own.
+HOT = 1_000_000
+
 
 @dataclass
 class Split:
@@ -18,12 +25,32 @@ class Split:
         count = lambda df, s: dict(zip((f"{s}_interactions", f"{s}_users"), df.agg(F.count(F.lit(1)), F.countDistinct("user_id")).first()))
         return count(self.train, "train") | count(self.test, "test")
 
-    def write(self, train: str, test: str) -> dict[str, int]:
+    def write(self, train: str | None = None, test: str | None = None, folder: str | None = None) -> "SplitResult":
+        """Writes both parts and counts what was written. Both paths are given or neither; then they lie in the folder
+        (default: a new one in the shared folder), which belongs to the caller."""
+        from veldt.session import shared_dir
         from veldt.sources.io import write
 
+        if (train is None) != (test is None):
+            raise ValueError("both paths must be given or neither")
+        spark = self.train.sparkSession
+        if train is None:
+            folder = (folder or f"{shared_dir(spark)}/split-{uuid.uuid4().hex}").rstrip("/")
+            train, test = f"{folder}/train.parquet", f"{folder}/test.parquet"
         write(self.train, train)
         write(self.test, test)
-        return self.stats
+        stats = Split(spark.read.parquet(train), spark.read.parquet(test)).stats
+        return SplitResult(train, test, **stats)
+
+
+@dataclass(frozen=True)
+class SplitResult:
+    train_path: str
+    test_path: str
+    train_interactions: int
+    train_users: int
+    test_interactions: int
+    test_users: int
 
 
 def shuffled(*parts: Column | str, seed: int = 42) -> Column:
@@ -32,9 +59,26 @@ def shuffled(*parts: Column | str, seed: int = 42) -> Column:
 
 
 def _placed(df: DataFrame, row: list[str], seed: int) -> DataFrame:
-    mine = W.partitionBy("user_id")
-    order = W.partitionBy("user_id").orderBy(shuffled("user_id", *row, seed=seed), *row)
-    return df.withColumn("__rn", F.row_number().over(order)).withColumn("__n", F.count(F.lit(1)).over(mine))
+    """df with __rn, a row's place among the rows of its user in hash order, and __n, their number; null for null users.
+
+    Users with more than HOT rows are ranked inside ranges of the hash, from the number of rows in the ranges before.
+    """
+    rows = df.withColumn("__h", shuffled("user_id", *row, seed=seed))
+    mine, order = W.partitionBy("user_id"), W.partitionBy("user_id").orderBy("__h", *row)
+    plain = lambda x: x.withColumn("__rn", F.row_number().over(order)).withColumn("__n", F.count(F.lit(1)).over(mine))
+    nobody = rows.filter("user_id is null").withColumn("__rn", F.lit(None).cast("int")).withColumn("__n", F.lit(None).cast("bigint"))
+    some = rows.filter("user_id is not null")
+    hot = cut(df.filter("user_id is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT))
+    if hot.isEmpty():
+        return plain(some).unionByName(nobody).drop("__h")
+    many = some.join(hint(hot), "user_id").withColumn("__g", F.substring("__h", 1, 3))
+    sizes = many.groupBy("user_id", "__g").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("user_id").orderBy("__g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(sizes.select("user_id", "__g", before.alias("__before")))
+    at = F.row_number().over(W.partitionBy("user_id", "__g").orderBy("__h", *row)) + F.col("__before")
+    many = many.join(hint(starts), ["user_id", "__g"]).withColumn("__rn", at).drop("__g", "__before")
+    few = plain(some.join(hint(hot.select("user_id")), "user_id", "left_anti"))
+    return few.unionByName(many).unionByName(nobody).drop("__h")
 
 
 def _cut(df: DataFrame, test: Column) -> Split:
@@ -76,8 +120,6 @@ def user_folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
     Ranks are counted inside hash ranges and joined by offsets, so no task sees all users.
     """
-    from veldt.session import cut
-
     users = df.select("user_id").dropna().distinct().withColumn("h", shuffled("user_id", seed=seed)).withColumn("g", F.substring("h", 1, 3))
     users = cut(users)
     total = users.count()
