@@ -1,12 +1,13 @@
 """Byte-level BPE encoding of a corpus with a public tokenizer's vocabulary.
 
-Each pre-token is a linked list of symbols. Positions wait in buckets per merge rank; a three-level bitmap tells the
+Each pre-token is a linked list of symbols. Positions wait in buckets per merge rank; a two-level bitmap tells the
 lowest rank that has any; entries whose pair changed meanwhile are skipped. So a pre-token of n bytes takes O(n) list
 steps and one small search per merge, however long it is.
 """
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,11 @@ from veldt.session import col, spread
 TOKENIZERS = os.environ.get("VELDT_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose ids are kept in a task, and the longest kept; others are encoded again.
-KEPT, KEPT_CHARS = 400_000, 64
+#: A run of blanks with the run of other signs behind it. No pre-token begins with another sign and goes on over a blank,
+#: and none looks further ahead, so a text's pre-tokens are those of its chunks.
+CHUNK = r"\s*+\S++|\s++"
+#: Chunks whose ids a worker keeps, and the longest kept; others are encoded again.
+KEPT, KEPT_CHARS = 300_000, 64
 
 
 def byte_signs() -> dict[str, int]:
@@ -46,117 +50,161 @@ def load_vocabulary(path: str) -> tuple[list[int], dict[int, int]]:
     return base, merges
 
 
+#: Bits of one word of the bitmap, and its single bits.
+WORD = 8
+BIT = [1 << k for k in range(1 << WORD)]
+
+
 class RankQueue:
-    """Positions by merge rank; three levels of 64-bit words find the lowest rank."""
+    """Positions by merge rank; two levels of 256-bit words find the lowest rank."""
 
     def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
+        if ranks >> 2 * WORD:
+            raise ValueError(f"more than {1 << 2 * WORD} ranks")
+        self.low = [0] * ((ranks >> WORD) + 1)
         self.top = 0
         self.at: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.at.get(rank)
-        if bucket is not None:
-            bucket.append(position)
+        if rank in self.at:
+            self.at[rank].append(position)
             return
         self.at[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] |= 1 << (rank & 63)
-        self.mid[b] |= 1 << (a & 63)
-        self.top |= 1 << b
+        self.low[rank >> WORD] |= BIT[rank & 255]
+        self.top |= BIT[rank >> WORD]
 
     def pop(self) -> tuple[int, list[int]]:
         """The lowest rank with its positions, which leave the queue; rank -1 if there is none."""
         if not self.top:
             return -1, []
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = b << 6 | (word & -word).bit_length() - 1
+        a = (self.top & -self.top).bit_length() - 1
         word = self.low[a]
         bit = word & -word
-        rank = a << 6 | bit.bit_length() - 1
-        self.low[a] = word ^ bit
-        if not self.low[a]:
-            self.mid[b] ^= 1 << (a & 63)
-            if not self.mid[b]:
-                self.top ^= 1 << b
+        self.low[a] = word = word ^ bit
+        if not word:
+            self.top ^= BIT[a]
+        rank = a << WORD | bit.bit_length() - 1
         return rank, self.at.pop(rank)
 
 
 def encode_bytes(data: bytes, base: list[int], merges: dict[int, int], queue: RankQueue) -> list[int]:
-    """The ids of one pre-token: always the pair of lowest rank, the leftmost first."""
+    """The ids of one pre-token: always the pair of lowest rank, the leftmost first.
+
+    The queue is empty before and after; its pushes and pops stand here in line, as they are most of the work.
+    """
     ids = [base[x] for x in data]
     n = len(ids)
     if n < 2:
         return ids
-    get, push = merges.get, queue.push
+    get, low, at, top = merges.get, queue.low, queue.at, 0
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank_at = [-1] * n  # the rank at which each position waits
+    waits = [None] * n  # the merge for which each position waits: rank << 20 | new id
+    left = ids[0]
     for i in range(n - 1):
-        m = get(ids[i] << 20 | ids[i + 1])
+        right = ids[i + 1]
+        m = waits[i] = get(left << 20 | right)
+        left = right
         if m is not None:
-            rank_at[i] = m >> 20
-            push(m >> 20, i)
-    while True:
-        rank, bucket = queue.pop()
-        if rank < 0:
-            break
+            r = m >> 20
+            if r in at:
+                at[r].append(i)
+            else:
+                at[r] = [i]
+                low[r >> 8] |= BIT[r & 255]
+                top |= BIT[r >> 8]
+    while top:
+        a = (top & -top).bit_length() - 1
+        word = low[a]
+        bit = word & -word
+        low[a] = word = word ^ bit
+        if not word:
+            top ^= BIT[a]
+        rank = a << 8 | bit.bit_length() - 1
+        bucket = at.pop(rank)
         if len(bucket) > 1:
             bucket.sort()
         for k, i in enumerate(bucket):
-            if rank_at[i] != rank:
+            m = waits[i]
+            if m is None or m >> 20 != rank:
                 continue  # stale: the pair at i is gone
             j = after[i]
-            ids[i] = get(ids[i] << 20 | ids[j]) & 0xFFFFF
-            rank_at[i] = rank_at[j] = -1
+            ids[i] = new = m & 0xFFFFF
             ids[j] = -1
+            waits[j] = waits[i] = None
             nxt = after[i] = after[j]
             lower = False
             if nxt < n:
                 before[nxt] = i
-                m = get(ids[i] << 20 | ids[nxt])
+                m = get(new << 20 | ids[nxt])
                 if m is not None:
-                    rank_at[i] = r = m >> 20
-                    push(r, i)
+                    waits[i] = m
+                    r = m >> 20
+                    if r in at:
+                        at[r].append(i)
+                    else:
+                        at[r] = [i]
+                        low[r >> 8] |= BIT[r & 255]
+                        top |= BIT[r >> 8]
                     lower = r <= rank
             p = before[i]
             if p >= 0:
-                m = get(ids[p] << 20 | ids[i])
-                r = -1 if m is None else m >> 20
-                if r != rank_at[p]:
-                    rank_at[p] = r
-                    if r >= 0:
-                        push(r, p)
+                m = get(ids[p] << 20 | new)
+                if m != waits[p]:
+                    waits[p] = m
+                    if m is not None:
+                        r = m >> 20
+                        if r in at:
+                            at[r].append(p)
+                        else:
+                            at[r] = [p]
+                            low[r >> 8] |= BIT[r & 255]
+                            top |= BIT[r >> 8]
                         lower = lower or r <= rank
-            if lower:  # a better pair has come up: the rest of the bucket waits again
-                for q in bucket[k + 1 :]:
-                    if rank_at[q] == rank:
-                        push(rank, q)
+            if lower and k + 1 < len(bucket):  # a better pair has come up: the rest of the bucket waits again
+                rest = [q for q in bucket[k + 1 :] if waits[q] is not None and waits[q] >> 20 == rank]
+                if rest:
+                    if rank in at:
+                        at[rank] += rest
+                    else:
+                        at[rank] = rest
+                        low[rank >> 8] |= BIT[rank & 255]
+                        top |= BIT[rank >> 8]
                 break
     return [x for x in ids if x >= 0]
 
 
+class Known(dict):
+    """The ids of chunks; those of a chunk met for the first time are found by its pre-tokens."""
+
+    def __init__(self, base: list[int], merges: dict[int, int]):
+        self.base, self.merges = base, merges
+        self.split = regex.compile(PATTERN).findall
+        self.queue = RankQueue(max((m >> 20 for m in merges.values()), default=0))
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        ids = tuple(x for w in self.split(chunk) for x in encode_bytes(w.encode("utf-8"), self.base, self.merges, self.queue))
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 def _encoder(shared):
     def run(batches):
-        base, merges = shared.value
-        split = regex.compile(PATTERN).findall
-        queue, known = RankQueue(max((m >> 20 for m in merges.values()), default=0)), {}
+        base, merges, held = shared.value  # one object a worker, so what it has met stays for its next tasks
+        if "known" not in held:
+            held["known"] = Known(base, merges)
+        known = held["known"]
+        chunks = regex.compile(CHUNK).findall
         for b in batches:
-            size, flat = np.zeros(b.num_rows + 1, np.int32), []
+            found, size = [], np.zeros(b.num_rows + 1, np.int32)
             for k, text in enumerate(b["text"].to_pylist()):
                 if text:
-                    for w in split(text):
-                        ids = known.get(w)
-                        if ids is None:
-                            ids = encode_bytes(w.encode("utf-8"), base, merges, queue)
-                            if len(w) <= KEPT_CHARS:
-                                if len(known) >= KEPT:
-                                    known.clear()
-                                known[w] = ids
-                        flat += ids
-                size[k + 1] = len(flat)
-            ids = pa.ListArray.from_arrays(pa.array(size), pa.array(np.array(flat, np.int32)))
+                    mine = [*map(known.__getitem__, chunks(text))]
+                    found += mine
+                    size[k + 1] = sum(map(len, mine))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(np.fromiter(chain.from_iterable(found), np.int32)))
             yield pa.RecordBatch.from_arrays([b["id"], ids], ["id", "ids"])
 
     return run
@@ -170,7 +218,7 @@ def encode_corpus(df: DataFrame, id_: str, text: str, vocabulary: str = "byte_bp
     read on the driver and sent to the workers.
     """
     spark: SparkSession = df.sparkSession
-    shared = spark.sparkContext.broadcast(load_vocabulary(os.path.join(folder, vocabulary)))
+    shared = spark.sparkContext.broadcast((*load_vocabulary(os.path.join(folder, vocabulary)), {}))
     rows = spread(df.select(col(id_).alias("id"), col(text).cast("string").alias("text")))
     kind = dict(rows.dtypes)["id"]
     return rows.mapInArrow(_encoder(shared), f"id {kind}, ids array<int>").withColumnRenamed("id", id_)
