@@ -7,11 +7,11 @@ sentences of a text, with a price for each change, turns their scores into segme
 
 import math
 import pickle
+import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,16 +30,20 @@ ALIASES = {
     "ru": "ru", "rus": "ru", "russian": "ru", "русский": "ru",
     "ja": "ja", "jpn": "ja", "japanese": "ja", "日本語": "ja",
 }
-#: Labelled documents of each language from which the network is trained, at most.
+#: Labelled documents of each language from which the network is trained, at most: distinct texts, the first by hash.
 SAMPLE = 120
+#: Characters that such a document may have; others are judged, but not learned from.
+SAMPLE_CHARS = (40, 20_000)
 #: Bytes of a window, entries of an embedding, filter widths and filters of each width.
-WINDOW, EMBED, WIDTHS, FILTERS = 96, 8, (2, 3, 4, 5), 48
+WINDOW, EMBED, WIDTHS, FILTERS = 96, 8, (2, 3, 4, 5), 32
 #: Passes over the training windows.
 EPOCHS = 7
 #: Log-odds that a change of language inside a text must win, and the most that one sentence may count.
 CHANGE, MOST = 1.6, 14.0
 #: Different words from which a sentence counts fully.
 FULL = 6.0
+#: Texts judged at once, and windows of one product (few, so that they stay in the cache).
+TEXTS, PRODUCT = 256, 32
 
 
 def label_language(label: Column) -> Column:
@@ -49,37 +53,92 @@ def label_language(label: Column) -> Column:
     return names[base]
 
 
+#: Private signs that stand between sentences and between texts while many are handled as one string.
+CUT, END = "\ue000", "\ue001"
+_LATIN_END = re.compile(r"([.!?…]['\"»”’)\]]*\s)")
+_CJK_END = re.compile(r"([。！？][』」”)）]*)(?![。！？』」”)）])")
+_LINE_END = re.compile(r"[\r\n]+")
+_HYPHEN = re.compile(r"(?<=[^\W\d_])-\r?\n(?=[^\W\d_])")
+_CODE = re.compile(r"[=_@\d](?:(?<=[=_@])|(?<=[a-z]\d))")
+_REPEATED = re.compile(r"([^\w\s\ue000\ue001]|_)\1+")
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+_DIGIT = re.compile(r"\d")
+#: Letters that one word may have; longer runs are no words.
+WORD = 24
+
+
+def _marked(text: str) -> str:
+    """A text (or many, with END between them) with CUT after each whole sentence."""
+    if "-\n" in text or "-\r\n" in text:
+        text = _HYPHEN.sub("", text)
+    text = _LATIN_END.sub(r"\1" + CUT, text)
+    if "。" in text or "！" in text or "？" in text:
+        text = _CJK_END.sub(r"\1" + CUT, text)
+    return _LINE_END.sub(CUT, text).replace(" / ", CUT)
+
+
 def sentences(text: str) -> list[str]:
     """Whole sentences: up to an end mark with its closing quotes, or to a line's end; hyphenated line ends go on."""
-    text = regex.sub(r"(\p{L})-\r?\n(\p{L})", r"\1\2", text)
-    return [s for s in regex.split(r"(?<=[.!?…]['\"»”’)\]]*\s)|(?<=[。！？][』」”)）]*)(?![。！？』」”)）])|[\r\n]+| / ", text) if s and s.strip()]
+    return [s for s in _marked(text.replace(CUT, " ").replace(END, " ")).split(CUT) if s and not s.isspace()]
+
+
+def _without_codes(text: str) -> str:
+    """A blank for each run of ASCII signs that holds =, _, @ or a digit behind a letter."""
+    out, upto = [], 0
+    for m in _CODE.finditer(text):
+        a, b = m.start(), m.end()
+        if a < upto:
+            continue
+        while a > upto and "!" <= text[a - 1] <= "~":
+            a -= 1
+        while b < len(text) and "!" <= text[b] <= "~":
+            b += 1
+        out.append(text[upto:a])
+        upto = b
+    return " ".join([*out, text[upto:]])
+
+
+def _cleaned(text: str) -> str:
+    """What the network sees of sentences, blanks aside: lower case, composed, without codes and digits, repeated signs once."""
+    text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    text = _without_codes(text.lower())
+    for sign in "0123456789*#":
+        text = text.replace(sign, " ")
+    return _REPEATED.sub(r"\1", text if text.isascii() else _DIGIT.sub(" ", text))
 
 
 def prepare(sentence: str) -> bytes:
-    """What the network sees: lower case, composed, digits and spaces as one space."""
-    s = regex.sub(r"[!-~]*[=_@][!-~]*|[!-~]*[A-Za-z]\d[!-~]*", " ", unicodedata.normalize("NFC", sentence))
-    s = regex.sub(r"([^\p{L}\s])\1+", r"\1", regex.sub(r"[\s\d*#]+", " ", s.lower()))
-    return s.strip().encode("utf-8", "ignore")
+    """A sentence as the network sees it."""
+    return " ".join(_cleaned(sentence).split()).encode("utf-8", "ignore")
+
+
+def words(tokens: list[str]) -> float:
+    """About how many different words a sentence of such tokens has; scripts written without spaces count by signs."""
+    kinds = set(tokens)
+    found = sum(map(str.islower, kinds))  # tokens with a cased letter
+    if found and max(map(len, kinds)) > WORD:
+        found = sum(t.islower() and len(t) <= WORD for t in kinds)
+    if found < FULL and not (joined := " ".join(kinds)).isascii():
+        found += len(set(_CJK.findall(joined))) / 3
+    return found
 
 
-def words(prepared: bytes) -> float:
-    """About how many different words a prepared sentence has; scripts written without spaces count by signs."""
-    s = prepared.decode("utf-8", "ignore")
-    signs = len(set(regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}]", s)))
-    return len(set(regex.findall(r"[\p{L}\p{M}']{1,24}+(?![\p{L}\p{M}])", s))) + signs / 3
+def spans(length: int) -> list[tuple[int, int]]:
+    """All of so many bytes in fixed-length windows; they share the bytes evenly, so none is very short."""
+    n = max(1, -(-length // WINDOW))
+    step = length / n
+    return [(int(k * step), int((k + 1) * step)) for k in range(n)]
 
 
 def windows(data: bytes) -> list[bytes]:
-    """All of the bytes in fixed-length windows; the last ones share what is left, so none is very short."""
-    n = max(1, math.ceil(len(data) / WINDOW))
-    step = len(data) / n
-    return [data[int(k * step) : int((k + 1) * step)] for k in range(n)]
+    return [data[a:b] for a, b in spans(len(data))]
 
 
 def matrix(parts: list[bytes]) -> np.ndarray:
+    """One window a row, zeros after its bytes; zeros are seen as nothing, however many follow."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
     out = np.zeros((len(parts), WINDOW), np.uint8)
-    for i, p in enumerate(parts):
-        out[i, : len(p)] = np.frombuffer(p, np.uint8)
+    out[np.arange(WINDOW) < size[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
     return out
 
 
@@ -93,65 +152,83 @@ def new_network(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _columns(x: np.ndarray, k: int) -> np.ndarray:
-    n, length, d = x.shape
-    s = x.strides
-    return np.lib.stride_tricks.as_strided(x, (n, length - k + 1, k * d), (s[0], s[1], s[2])).reshape(-1, k * d)
+def _filters(w: dict[str, np.ndarray]) -> np.ndarray:
+    """All filters as columns over the widest window; narrower ones are zero behind their width."""
+    out = np.zeros((max(WIDTHS) * EMBED, FILTERS * len(WIDTHS)), np.float32)
+    for j, k in enumerate(WIDTHS):
+        out[: k * EMBED, j * FILTERS : (j + 1) * FILTERS] = w[f"k{k}"]
+    return out
 
 
 def forward(w: dict[str, np.ndarray], bytes_: np.ndarray, keep: bool = False):
-    x = w["e"][bytes_]
-    x[bytes_ == 0] = 0
-    feats, kept = [], []
-    for k in WIDTHS:
-        c = _columns(x, k)
-        y = (c @ w[f"k{k}"]).reshape(len(x), -1, FILTERS)
-        if keep:
-            top = y.argmax(1)
-            kept.append((top, c))
-            y = np.take_along_axis(y, top[:, None], 1)[:, 0]
-        else:
-            y = y.max(1)
-        feats.append(np.maximum(y + w[f"b{k}"], 0))
-    f = np.concatenate(feats, 1)
+    """Log-probabilities of each window: embedding, one product for the filters of all widths, maximum, softmax.
+
+    Behind the bytes stands room for the widest filter and one more, so a window's result does not depend on how many
+    zeros follow it.
+    """
+    n, length = bytes_.shape
+    widest = max(WIDTHS)
+    e = w["e"].copy()
+    e[0] = 0
+    x = np.zeros((n, length + widest, EMBED), np.float32)
+    x[:, :length] = e[bytes_]
+    s = x.strides
+    c = np.lib.stride_tricks.as_strided(x, (n, length + 1, widest * EMBED), s).reshape(-1, widest * EMBED)
+    y = (c @ _filters(w)).reshape(n, length + 1, -1)
+    bias = np.concatenate([w[f"b{k}"] for k in WIDTHS])
+    best = y.max(1)
+    top = ((y == best[:, None]) * np.arange(length + 1, dtype=np.uint8)[:, None]).max(1) if keep else None
+    y = best
+    f = np.maximum(y + bias, 0)
     z = f @ w["o"] + w["c"]
     z -= z.max(1, keepdims=True)
     logp = z - np.log(np.exp(z).sum(1, keepdims=True))
-    return (logp, f, kept) if keep else logp
+    return (logp, f, top, c) if keep else logp
+
+
+def _sizes(bytes_: np.ndarray) -> np.ndarray:
+    """How many bytes each window has."""
+    return bytes_.shape[1] - (bytes_[:, ::-1] != 0).argmax(1) if len(bytes_) else np.zeros(0, int)
 
 
 def predict(w: dict[str, np.ndarray], bytes_: np.ndarray) -> np.ndarray:
-    """Log-probabilities of each window, in batches."""
-    return np.concatenate([forward(w, bytes_[a : a + 256]) for a in range(0, len(bytes_), 256)] or [np.zeros((0, len(LANGS)), np.float32)])
+    """Log-probabilities of each window, in products of windows of about one length."""
+    out = np.zeros((len(bytes_), len(LANGS)), np.float32)
+    size = _sizes(bytes_)
+    order = np.argsort(size, kind="stable")
+    for a in range(0, len(order), PRODUCT):
+        i = order[a : a + PRODUCT]
+        out[i] = forward(w, bytes_[i, : size[i[-1]]])
+    return out
 
 
 def train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.004, w=None) -> dict[str, np.ndarray]:
     """Adam on the cross entropy with a little label smoothing."""
     w = w or new_network(rng)
     m, v, t = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
-    steps = max(1, epochs * math.ceil(len(x) / batch))
+    steps, size = max(1, epochs * math.ceil(len(x) / batch)), _sizes(x)
     for _ in range(epochs):
+        # Batches of windows of about one length, in a random order.
         order = rng.permutation(len(x))
-        for a in range(0, len(x), batch):
+        order = np.concatenate([o[np.argsort(size[o], kind="stable")] for o in (order[a : a + 16 * batch] for a in range(0, len(x), 16 * batch))])
+        for a in rng.permutation(range(0, len(x), batch)):
             i = order[a : a + batch]
-            bx = x[i]
-            logp, f, kept = forward(w, bx, True)
+            bx = x[i, : max(8, size[i].max())]
+            logp, f, top, c = forward(w, bx, True)
             want = np.full(logp.shape, 0.01 / len(LANGS), np.float32)
             want[np.arange(len(i)), y[i]] += 0.99
             dz = (np.exp(logp) - want) / len(i)
             g = {"o": f.T @ dz, "c": dz.sum(0)}
             df = dz @ w["o"].T * (f > 0)
             de = np.zeros((256, EMBED))
+            seen = c[np.arange(len(i))[:, None] * (bx.shape[1] + 1) + top.astype(int)].transpose(1, 0, 2)  # filter, window, inputs
+            dk = (df.T[:, None, :] @ seen)[:, 0].T
+            padded = np.pad(bx, ((0, 0), (0, max(WIDTHS))))
             for j, k in enumerate(WIDTHS):
-                top, c = kept[j]
-                d = df[:, j * FILTERS : (j + 1) * FILTERS]
-                rows = np.arange(len(i))[:, None] * (WINDOW - k + 1) + top
-                src = c[rows]  # batch, filter, inputs
-                g[f"k{k}"] = (src.transpose(1, 2, 0) @ d.T[:, :, None])[:, :, 0].T
-                g[f"b{k}"] = d.sum(0)
-                back = (d[:, :, None] * w[f"k{k}"].T[None]).reshape(len(i), FILTERS, k, EMBED)
-                at = bx[np.arange(len(i))[:, None, None], top[:, :, None] + np.arange(k)]
-                at, back = at.ravel(), back.reshape(-1, EMBED)
+                own = slice(j * FILTERS, (j + 1) * FILTERS)
+                g[f"k{k}"], g[f"b{k}"] = dk[: k * EMBED, own], df[:, own].sum(0)
+                back = (df[:, own, None] * w[f"k{k}"].T[None]).reshape(-1, EMBED)
+                at = padded[np.arange(len(i))[:, None, None], top[:, own, None].astype(int) + np.arange(k)].ravel()
                 for q in range(EMBED):
                     de[:, q] += np.bincount(at, back[:, q], 256)
             de[0] = 0
@@ -192,6 +269,12 @@ def fit(labelled: list[tuple[str, str]], seed: int = 11) -> dict[str, np.ndarray
     return train(np.concatenate([x, cut_[pick]]), np.concatenate([y, y[pick]]), rng, EPOCHS)
 
 
+def _confidence(scores: np.ndarray, lang: int) -> float:
+    z = scores.sum(0)
+    z = np.exp(z - z.max())
+    return float(z[lang] / z.sum())
+
+
 def segments(scores: np.ndarray, change: float = CHANGE) -> list[tuple[int, int, int, float]]:
     """(first sentence, sentences, language, confidence) of the best path over sentence scores (log-probabilities)."""
     n, k = scores.shape
@@ -208,59 +291,70 @@ def segments(scores: np.ndarray, change: float = CHANGE) -> list[tuple[int, int,
     out, a = [], 0
     for i in range(1, n + 1):
         if i == n or path[i] != path[a]:
-            z = scores[a:i].sum(0)
-            z = np.exp(z - z.max())
-            out.append((a, i - a, path[a], float(z[path[a]] / z.sum())))
+            out.append((a, i - a, path[a], _confidence(scores[a:i], path[a])))
             a = i
     return out
 
 
-def _sentence_score(logp: np.ndarray, words_: float) -> np.ndarray:
-    """The sum over a sentence's windows; few different words count less, and no sentence counts without bound."""
-    s = logp.sum(0)
-    s = (s - s.max()) * min(1.0, (words_ / FULL) ** 2)
-    return np.maximum(s, -MOST)
-
-
 def _detector(shared):
     def run(batches):
         w = shared.value
         for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                yield detect(w, pdf["id"].iloc[a : a + 256].tolist(), pdf["text"].iloc[a : a + 256].tolist())
+            for a in range(0, len(pdf), TEXTS):
+                yield detect(w, pdf["id"].iloc[a : a + TEXTS].tolist(), pdf["text"].iloc[a : a + TEXTS].tolist())
 
     return run
 
 
 def detect(w: dict[str, np.ndarray], ids: list, texts: list) -> pd.DataFrame:
-    docs, parts, spans = [], [], []
-    for k, text in enumerate(texts):
-        mine = []
-        for s in sentences(text or ""):
-            if regex.search(r"\p{L}", s):
-                data = prepare(s)
-                p = windows(data)
-                mine.append((len(parts), len(p), words(data)))
-                parts += p
-        if mine:
-            docs.append(k)
-            spans.append(mine)
+    """The segments of some texts. A sentence's score is the sum over its windows; few different words count less, and
+    no sentence counts without bound."""
+    whole = END.join((t or "").replace(CUT, " ").replace(END, " ") for t in texts)
+    doc, parts, count, known = [], [], [], []
+    for k, text in enumerate(_cleaned(_marked(whole)).split(END)):
+        for raw in text.split(CUT):
+            tokens = raw.split()
+            if n := words(tokens):
+                data = " ".join(tokens).encode("utf-8", "ignore")
+                mine = [data] if len(data) <= WINDOW else windows(data)
+                doc.append(k)
+                parts += mine
+                count.append(len(mine))
+                known.append(n)
     out = {c: [] for c in ("id", "seg_no", "lang", "confidence", "n_sentences", "n_segments")}
-    if docs:
-        logp = predict(w, matrix(parts))
-        for k, mine in zip(docs, spans):
-            scores = np.stack([_sentence_score(logp[a : a + n], known) for a, n, known in mine])
-            path = segments(scores)
+    if doc:
+        doc, count = np.array(doc), np.array(count)
+        scores = np.add.reduceat(predict(w, matrix(parts)).astype(float), np.r_[0, np.cumsum(count)[:-1]])
+        weight = np.minimum(1.0, (np.array(known) / FULL) ** 2)[:, None]
+        scores = np.maximum((scores - scores.max(1, keepdims=True)) * weight, -MOST)
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        best = scores.argmax(1)
+        one = np.minimum.reduceat(best, first) == np.maximum.reduceat(best, first)
+        for a, b, alike in zip(first, np.r_[first[1:], len(doc)], one):
+            # Where every sentence is likeliest in one language, so is the path; else it is searched.
+            path = [(0, b - a, int(best[a]), _confidence(scores[a:b], best[a]))] if alike else segments(scores[a:b])
             for no, (_, n, lang, sure) in enumerate(path, 1):
-                for c, x in zip(out, (ids[k], no, LANGS[lang], sure, n, len(path))):
+                for c, x in zip(out, (ids[doc[a]], no, LANGS[lang], sure, n, len(path))):
                     out[c].append(x)
     return pd.DataFrame(out).astype({"lang": object, "seg_no": "int32", "n_sentences": "int32", "n_segments": "int32", "confidence": float})
 
 
 def train_on(docs: DataFrame, text: str, label: str, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """The network, trained in one task on at most `sample` labelled texts of each language, chosen by hash."""
-    rows = docs.select(col(text).cast("string").alias("text"), label_language(col(label)).alias("lang")).filter("lang is not null and length(text) between 40 and 20000")
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).filter(F.col("r") <= sample)
+    """The network, trained in one task on at most `sample` distinct labelled texts of each language, the first by hash.
+
+    Labels are only hints: sentences that a first network firmly gives to another language are not learned. A sampled
+    text is judged like any other, so its own label has had a small part in the network.
+    """
+    named = docs.select(col(text).cast("string").alias("text"), label_language(col(label).cast("string")).alias("lang")).filter("lang is not null")
+    named = named.filter(F.length("text").between(*SAMPLE_CHARS)).withColumn("h", F.xxhash64("text"))
+    # From the number of texts of a language follows a bound on the hash that about four times the sample stay below, so
+    # the rows that reach the last task depend on neither the number of tasks nor that of documents.
+    many = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row a language
+    if not many:
+        return new_network(np.random.default_rng(11))
+    below = F.create_map(*[F.lit(x) for x in sum(((lang, -(2.0**63) + 2.0**64 * min(1.0, 4 * sample / max(n, 1))) for lang, n in many.items()), ())])
+    near = named.filter(F.col("h") <= below[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    first = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample)
 
     def run(batches):
         held = [x for pdf in batches for x in zip(pdf["text"], pdf["lang"])]
@@ -274,7 +368,7 @@ def language_segments(docs: DataFrame, doc_id: str, text: str, label: str, model
     """doc_id, seg_no, lang, confidence, n_sentences, n_segments and label_lang: the segments of every text with words, from 1 in reading order.
 
     Whole texts are read. Null, empty and wordless texts give no row; a text in one language gives one segment. The
-    label is not used to judge its own text; label_lang is the language that it names, or null. Without a given model
+    label is not asked when its own text is judged; label_lang is the language that it names, or null. Without a given model
     the network is trained on a bounded sample of the labelled rows; without labelled rows it is untrained, and every
     language is a guess with the low confidence that it has. An empty table gives no row; other columns are ignored.
     """
