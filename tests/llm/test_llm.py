@@ -106,6 +106,27 @@ def test_neighbours_match_brute_force(spark):
     assert got["copy7"] == want["copy7"] and got["v0"] == want["v0"]
 
 
+def test_neighbours_of_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PART", 40)
+    monkeypatch.setattr(knn, "MOST_PARTS", 8)
+    monkeypatch.setattr(knn, "SAMPLE", 700)
+    monkeypatch.setattr(knn, "BLOCK", 90)
+    monkeypatch.setattr(knn, "ASKING", 500)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 32))
+    x = (centres[rng.integers(0, 60, 1500)] + 0.4 * rng.standard_normal((1500, 32))).astype(np.float32)
+    ids = [f"v{k:05d}" for k in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, vec array<float>").repartition(3)
+    got = {r["id"]: r["ids"] for r in knn.nearest(df, "id", "vec").collect()}
+    u = x.astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -2)
+    want = [{ids[j] for j in np.argsort(-s[k], kind="stable")[:10]} for k in range(len(x))]
+    assert set(got) == set(ids) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(want[k] & set(got[i])) / 10 for k, i in enumerate(ids)]) > 0.95
+
+
 def test_neighbours_small(spark):
     df = spark.createDataFrame([("a", [1.0] * 32), ("b", [2.0] * 32), ("c", [-1.0] * 32)], "id string, vec array<float>")
     assert {r["id"]: r["ids"] for r in knn.nearest(df, "id", "vec", 10).collect()} == {"a": ["b", "c"], "b": ["a", "c"], "c": ["a", "b"]}

@@ -1,12 +1,15 @@
 """The k most similar vectors of every vector, by learned partitions.
 
 From a bounded sample a neighbour graph is built and cut into balanced parts; a small classifier learns which parts hold
-a vector's neighbours. Every vector is indexed in its most probable part, every distinct vector asks the most probable
-few parts, and the answers are reranked by exact cosine. Groups of equal vectors ask once, and send only their first
-k + 1 ids as candidates: no other member can be among the k nearest of anything.
+a vector's neighbours. Large collections have two levels: each part is cut again, from a bounded sample of its own, so a
+part holds about as many vectors at any size. Every vector is indexed in its most probable part. It first meets the part
+in which it lies; then it asks as many more parts as its own probabilities call for, and gets back only what is nearer
+than the k it has, reranked by exact cosine. Groups of equal vectors ask once, and send only their first k + 1 ids as
+candidates: no other member can be among the k nearest of anything.
 """
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -17,12 +20,15 @@ from pyspark.sql import functions as F
 
 from veldt.session import col, cut, hint, release
 
-#: Vectors of each collection on which the partition is learned, at most; all vectors are indexed.
+#: Vectors of each collection, and of each part of the first level, on which a partition is learned, at most; all are indexed.
 SAMPLE = 8192
-#: Vectors that a part should hold, and the most parts that the sample can teach.
+#: Vectors that a part should hold, and the most parts that one sample can teach.
 PART, MOST_PARTS = 1024, 128
-#: Share of the sample's true neighbours that must lie in the parts asked for.
-COVERAGE = 0.999
+#: Probability that the parts which a vector asks must add up to, and the most of them; up to PART * MOST_PROBES vectors
+#: there are no more parts than that.
+COVERAGE, MOST_PROBES = 0.999, 64
+#: Queries of one group, above which a part's queries are cut into blocks.
+ASKING = 200_000
 #: Rows of one reranking block; larger parts are cut into blocks.
 BLOCK = 4096
 #: Digits to which cosines are rounded before ids decide.
@@ -107,31 +113,65 @@ def train_router(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, hi
     return tuple(w)
 
 
-def route(x: np.ndarray, w: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Parts by falling probability."""
-    return np.argsort(-(np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]), axis=1, kind="stable")
+def probabilities(x: np.ndarray, w: tuple[np.ndarray, ...] | None) -> np.ndarray:
+    """The share of each row's neighbours expected in each part."""
+    if w is None:
+        return np.ones((len(x), 1))
+    z = np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
 
 
-def fit_index(x: np.ndarray, rows: int, k: int, seed: int = 7) -> dict:
-    """Learns parts and router from a sample x of so many rows; probes: the parts that a query must ask."""
+def learn_parts(x: np.ndarray, rows: int, parts: int, k: int, seed: int = 7) -> tuple[np.ndarray, ...] | None:
+    """The router of so many parts of a collection, learned from a sample x of it; None for one part."""
+    parts = int(min(parts, MOST_PARTS, max(1, len(x) // 32)))
+    if parts <= 1:
+        return None
     rng = np.random.default_rng(seed)
     x = _unit(x.astype(float))
-    parts = int(min(MOST_PARTS, max(1, math.ceil(rows / PART)), max(1, len(x) // 32)))
-    if parts == 1:
-        return {"w": None, "parts": 1, "probes": 1}
     graph = neighbour_graph(x, k)
     part = balanced_parts(x, graph, parts, rng)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1 / (graph.shape[1] + 1))
     target[np.arange(len(x)), part] += 1 / (graph.shape[1] + 1)
-    w = train_router(x, target, rng)
-    ranked = route(x, w)
-    own = ranked[:, 0]  # where the index would hold each row
-    spot = np.argsort(ranked, axis=1)  # the place of each part in a row's order
-    deep = np.sort(spot[np.repeat(np.arange(len(x)), graph.shape[1]), own[graph].ravel()])
-    probes = int(deep[min(len(deep) - 1, math.ceil(COVERAGE * len(deep)))]) + 1
-    # Neighbours in the whole collection are nearer than those in the sample, so this asks rather too much.
-    return {"w": w, "parts": parts, "probes": min(parts, probes + 1)}
+    return train_router(x, target, rng)
+
+
+def home(x: np.ndarray, model: dict) -> np.ndarray:
+    """The part in which each row is indexed: the most probable one, of the most probable one of the first level."""
+    first = probabilities(x, model["w"]).argmax(1)
+    out = first * MOST_PARTS
+    for c, w in model["inner"].items():
+        mine = np.flatnonzero(first == c)
+        if len(mine):
+            out[mine] += probabilities(x[mine], w).argmax(1)
+    return out
+
+
+def ask_parts(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part): the parts that each row asks, by falling probability, until they add up to COVERAGE."""
+    outer = probabilities(x, model["w"])
+    rows, parts, chance = [], [], []
+    order = np.argsort(-outer, axis=1, kind="stable")
+    upto = np.cumsum(np.take_along_axis(outer, order, 1), 1)
+    wanted = np.zeros(outer.shape, bool)
+    np.put_along_axis(wanted, order, np.c_[np.zeros(len(x)), upto[:, :-1]] < COVERAGE, 1)
+    for c in range(outer.shape[1]):
+        mine = np.flatnonzero(wanted[:, c])
+        if not len(mine):
+            continue
+        inner = probabilities(x[mine], model["inner"].get(c))
+        rows.append(np.repeat(mine, inner.shape[1]))
+        parts.append(np.tile(c * MOST_PARTS + np.arange(inner.shape[1]), len(mine)))
+        chance.append((inner * outer[mine, c][:, None]).ravel())
+    rows, parts, chance = np.concatenate(rows), np.concatenate(parts), np.concatenate(chance)
+    order = np.lexsort((parts, -chance, rows))
+    rows, parts, chance = rows[order], parts[order], chance[order]
+    start = np.searchsorted(rows, np.arange(len(x)))
+    before = np.cumsum(chance) - chance
+    before -= before[start][rows]
+    keep = (before < COVERAGE) & (np.arange(len(rows)) - start[rows] < MOST_PROBES)
+    return rows[keep], parts[keep]
 
 
 def _pack(size: int, with_id: bool):
@@ -159,34 +199,105 @@ def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(float)
 
 
-def _rerank(k: int):
-    """All candidates and queries of one block pair: the k best candidates of each query by rounded cosine, then id."""
+def _nearest_of(cand: pd.DataFrame, ask: np.ndarray, least: np.ndarray, k: int):
+    """For each row of ask the k best candidates by rounded cosine, then id, of those not below its least: (ids, sims)."""
+    cand = cand.sort_values("id", key=lambda s: s.map(str.encode))
+    c, ids = _unit(_vectors(cand["vec"])), cand["id"].to_numpy()
+    for a in range(0, len(ask), 512):
+        s = np.round(_unit(ask[a : a + 512]) @ c.T, DIGITS)
+        bound = least[a : a + 512]
+        if s.shape[1] > k and not np.isfinite(bound).all():
+            bound = np.maximum(bound, np.partition(s, s.shape[1] - k, 1)[:, -k])
+        r, j = np.nonzero(s >= bound[:, None])  # candidates stand in the order of their ids
+        order = np.lexsort((j, -s[r, j], r))
+        r, j = r[order], j[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        r, j = r[nth < k], j[nth < k]
+        at = np.searchsorted(r, np.arange(len(s) + 1))
+        for i, (x, y) in enumerate(zip(at, at[1:])):
+            yield a + i, ids[j[x:y]], s[i, j[x:y]]
+
+
+def _at_home(k: int):
+    """The candidates of one block, those with a query number asking the others: q, vec, ids, sims and the least of k."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf[pdf["q"] >= 0]
+        out = {"q": ask["q"].to_numpy(), "vec": ask["vec"].to_numpy(), "part": ask["part"].to_numpy(), "cb": ask["cb"].to_numpy()}
+        found = [*_nearest_of(pdf, _vectors(ask["vec"]), np.full(len(ask), -np.inf), k)] if len(ask) else []
+        return pd.DataFrame(out | {"ids": pd.Series([x[1] for x in found], dtype=object), "sims": pd.Series([x[2] for x in found], dtype=object), "least": [float(x[2][-1]) if len(x[2]) == k else -np.inf for x in found]})
+
+    return run
+
+
+def _elsewhere(k: int):
+    """Candidates and queries of one block pair: for each query what is at least as near as the least it has."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cand, ask = pdf[pdf["q"] < 0], pdf[pdf["q"] >= 0]
-        if not len(cand) or not len(ask):
-            return pd.DataFrame({"q": np.zeros(0, np.int64), "ids": pd.Series([], dtype=object), "sims": pd.Series([], dtype=object)})
-        cand = cand.sort_values("id", key=lambda s: s.map(str.encode))
-        c, ids = _unit(_vectors(cand["vec"])), cand["id"].to_numpy()
-        outs, q = [], ask["q"].to_numpy()
-        for a in range(0, len(ask), 512):
-            s = np.round(_unit(_vectors(ask["vec"].iloc[a : a + 512])) @ c.T, DIGITS)
-            if s.shape[1] > k:
-                least = np.partition(s, s.shape[1] - k, 1)[:, -k]
-            else:
-                least = s.min(1)
-            r, j = np.nonzero(s >= least[:, None])  # candidates stand in the order of their ids
-            order = np.lexsort((j, -s[r, j], r))
-            r, j = r[order], j[order]
-            nth = np.arange(len(r)) - np.searchsorted(r, r)
-            r, j = r[nth < k], j[nth < k]
-            at = np.searchsorted(r, np.arange(s.shape[0] + 1))
-            outs.append(pd.DataFrame({"q": q[a : a + 512], "ids": [ids[j[x:y]] for x, y in zip(at, at[1:])], "sims": [s[i, j[x:y]] for i, (x, y) in enumerate(zip(at, at[1:]))]}))
-        return pd.concat(outs)
+        found = [x for x in _nearest_of(cand, _vectors(ask["vec"]), ask["least"].to_numpy(), k) if len(x[1])] if len(cand) and len(ask) else []
+        q = ask["q"].to_numpy()
+        return pd.DataFrame({"q": np.array([q[x[0]] for x in found], np.int64), "ids": pd.Series([x[1] for x in found], dtype=object), "sims": pd.Series([x[2] for x in found], dtype=object)})
 
     return run
 
 
+def _batched(function):
+    """mapInPandas over slices of 4096 rows, given as unit vectors."""
+
+    def run(batches):
+        for pdf in batches:
+            for a in range(0, len(pdf), 4096):
+                part = pdf.iloc[a : a + 4096]
+                yield function(part, _unit(_vectors(part["vec"])))
+
+    return run
+
+
+def fit_index(queries: DataFrame, n: int, k: int) -> dict:
+    """w, inner: the router of the first level and, where one sample teaches too few parts, those of its parts.
+
+    All fits see at most SAMPLE vectors, chosen by hash; those of the second level run as one task a part.
+    """
+    leaves = max(1, math.ceil(n / PART))
+    first = leaves if leaves <= MOST_PARTS else min(MOST_PARTS, math.ceil(math.sqrt(leaves)))
+    sample = queries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE)
+
+    def fit(batches):
+        found = [x for pdf in batches for x in pdf["vec"]]
+        if found:
+            yield pd.DataFrame({"model": [pickle.dumps(learn_parts(_vectors(found), n, first, k))]})
+
+    got = sample.coalesce(1).mapInPandas(fit, "model binary").collect()  # one row of some hundred kB: the bounded model
+    model = {"w": pickle.loads(bytes(got[0]["model"])) if got else None, "inner": {}}
+    if leaves <= MOST_PARTS:
+        return model
+
+    def placed(pdf, x):
+        return pd.DataFrame({"c": probabilities(x, model["w"]).argmax(1).astype(np.int32), "vec": pdf["vec"].to_numpy()})
+
+    held = queries.select("vec").mapInPandas(_batched(placed), "c int, vec binary")
+    below = -(2.0**63) + 2.0**64 * min(1.0, 1.5 * SAMPLE * first / n)
+    chosen = held.filter(F.xxhash64("vec") <= below)
+    sizes = {r["c"]: r["count"] for r in held.groupBy("c").count().collect()}  # one row a part
+
+    def inner(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _vectors(pdf["vec"].sort_values().iloc[: len(pdf)])
+        x = x[np.random.default_rng(7).permutation(len(x))[:SAMPLE]]
+        w = learn_parts(x, sizes[key[0]], math.ceil(sizes[key[0]] / PART), k)
+        return pd.DataFrame({"c": [key[0]], "model": [pickle.dumps(w)]})
+
+    models = chosen.groupBy("c").applyInPandas(inner, "c int, model binary").collect()  # at most MOST_PARTS rows of some ten kB
+    return model | {"inner": {r["c"]: pickle.loads(bytes(r["model"])) for r in models}}
+
+
+def _blocks(rows: DataFrame, size: int) -> Column:
+    """Into how many blocks of about this size the rows of a part are cut: a column over `part`."""
+    large = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n")).filter("n > 1")  # at most one row a part
+    many = {r["part"]: r["n"] for r in large.collect()}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("part")], F.lit(1)) if many else F.lit(1)
+
+
 def nearest(df: DataFrame, id_: str, vector: str, k: int = 10, size: int = 32) -> DataFrame:
     """id, ids: the k ids most similar to each id by cosine (double precision, rounded), equal ones by ascending id.
 
@@ -200,48 +311,36 @@ def nearest(df: DataFrame, id_: str, vector: str, k: int = 10, size: int = 32) -
     firsts = rows.withColumn("r", F.row_number().over(W.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= k + 1)
     firsts = cut(firsts)
     queries = cut(firsts.filter("r = 1").select(F.monotonically_increasing_id().alias("q"), "vec"))
-    n = firsts.count()
-
-    sample = queries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE)
-
-    def fit(batches):
-        import pickle
-
-        found = [x for pdf in batches for x in pdf["vec"]]
-        if found:
-            yield pd.DataFrame({"model": [pickle.dumps(fit_index(_vectors(found), n, k))]})
-
-    got = sample.coalesce(1).mapInPandas(fit, "model binary").collect()  # one row of some hundred kB: the bounded model
-    import pickle
-
-    model = pickle.loads(bytes(got[0]["model"])) if got else {"w": None, "parts": 1, "probes": 1}
-    w, probes = model["w"], model["probes"]
-
-    def assign(many: int):
-        def run(batches):
-            for pdf in batches:
-                if w is None:
-                    parts = np.zeros((len(pdf), 1), np.int32)
-                else:
-                    parts = np.concatenate([route(_unit(_vectors(pdf["vec"].iloc[a : a + 4096])), w)[:, :many] for a in range(0, len(pdf), 4096)] or [np.zeros((0, many), int)])
-                m = parts.shape[1]
-                yield pd.DataFrame({c: pdf[c].repeat(m) for c in pdf.columns} | {"part": parts.ravel().astype(np.int32)})
+    n = queries.count()
+    model = fit_index(queries, n, k)
+    # A part's candidates stand in blocks, so that a part of any size is spread.
+    numbered = firsts.join(queries, "vec").select("id", "vec", F.when(F.col("r") == 1, F.col("q")).otherwise(F.lit(-1)).alias("q"))
+
+    def indexed(pdf, x):
+        return pdf.assign(part=home(x, model).astype(np.int32))
+
+    cand = cut(numbered.mapInPandas(_batched(indexed), "id string, vec binary, q bigint, part int"))
+    release(firsts)
+    cand = cand.withColumn("cb", F.pmod(F.xxhash64("id"), _blocks(cand, BLOCK)).cast("int"))
+    near = cut(cand.groupBy("part", "cb").applyInPandas(_at_home(k + 1), "q bigint, vec binary, part int, cb int, ids array<string>, sims array<double>, least double"))
+
+    def asking(with_vectors: bool):
+        def run(pdf, x):
+            r, parts = ask_parts(x, model)
+            if not with_vectors:
+                return pd.DataFrame({"part": parts.astype(np.int32)})
+            return pdf.iloc[r].rename(columns={"part": "own", "cb": "own_cb"}).assign(part=parts.astype(np.int32))
 
         return run
 
-    cand = cut(firsts.select("id", "vec").mapInPandas(assign(1), "id string, vec binary, part int"))
-    ask = queries.mapInPandas(assign(probes), "q bigint, vec binary, part int")
-    # Parts of any size: candidates and queries of a part are cut into blocks, and every block pair is one group.
-    held = {r["part"]: r["count"] for r in cand.groupBy("part").count().collect()}  # one row per part
-    blocks = {p: max(1, math.ceil(c / BLOCK)) for p, c in held.items()}
-    nb = F.create_map(*[x for p, b in blocks.items() for x in (F.lit(p), F.lit(b))]) if blocks else F.create_map(F.lit(-1), F.lit(1))
-    # As many query blocks as candidate blocks times the probes: groups stay of one size as the collection grows.
-    cb, qb = F.coalesce(nb[F.col("part")], F.lit(1)), F.lit(max(1, probes // 2)) * F.coalesce(nb[F.col("part")], F.lit(1))
-    every = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
-    left = cand.withColumn("cb", F.pmod(F.xxhash64("id"), cb).cast("int")).withColumn("qb", every(qb)).withColumn("q", F.lit(-1).cast("bigint"))
-    right = ask.withColumn("qb", F.pmod(F.xxhash64("q"), qb).cast("int")).withColumn("cb", every(cb)).withColumn("id", F.lit(None).cast("string"))
-    both = left.select("part", "cb", "qb", "q", "id", "vec").unionByName(right.select("part", "cb", "qb", "q", "id", "vec"))
-    answers = both.groupBy("part", "cb", "qb").applyInPandas(_rerank(k + 1), "q bigint, ids array<string>, sims array<double>")
+    asked = near.select("q", "vec", "least", "part", "cb").mapInPandas(_batched(asking(True)), "q bigint, vec binary, least double, own int, own_cb int, part int")
+    asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), _blocks(cand, BLOCK) - 1))).filter("part <> own or cb <> own_cb")
+    # No group can have more queries than there are; if those are many, they are counted by part and cut into blocks.
+    asking_blocks = _blocks(near.select("vec").mapInPandas(_batched(asking(False)), "part int"), ASKING) if n > ASKING else F.lit(1)
+    right = asked.select("part", "cb", F.pmod(F.xxhash64("q"), asking_blocks).cast("int").alias("qb"), "q", F.lit(None).cast("string").alias("id"), "vec", "least")
+    left = cand.select("part", "cb", F.explode(F.sequence(F.lit(0), asking_blocks - 1)).alias("qb"), F.lit(-1).cast("bigint").alias("q"), "id", "vec", F.lit(None).cast("double").alias("least"))
+    further = left.unionByName(right).groupBy("part", "cb", "qb").applyInPandas(_elsewhere(k + 1), "q bigint, ids array<string>, sims array<double>")
+    answers = near.select("q", "ids", "sims").unionByName(further)
     ranked = F.transform(F.arrays_zip("ids", "sims"), lambda x: F.struct((-x["sims"]).alias("s"), x["ids"].alias("id")))
     merged = answers.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(ranked))), 1, k + 1).alias("best"))
     merged = cut(queries.join(merged, "q").select("vec", F.transform("best", lambda x: x["id"]).alias("best")))
