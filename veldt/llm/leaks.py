@@ -15,10 +15,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.session import col, spread
+from veldt.session import col, cut, release, spread
 
-#: Characters of test items that one pass over the corpus looks for; larger sets are taken in blocks.
+#: Characters of test items that are searched for at once. Larger sets are taken in blocks, but only in the documents that
+#: one pass over the corpus, with a filter over the pieces of all blocks, has left.
 BLOCK_CHARS = 16_000_000
+#: Bits of that filter for each piece, and the most bits of its slot numbers (2 ** 31 bits are 256 MB).
+PIECE_BITS, MOST_BITS = 16, 31
 #: Characters of documents handled at once.
 BATCH_CHARS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -210,39 +213,90 @@ def _verify(items, d, win, start, hit, k, doc, many):
     return np.stack([doc, item, errors, run], 1)[keep]
 
 
+def _batches_of(pdf: pd.DataFrame):
+    """(ids, texts, folded codes) of some BATCH_CHARS characters of documents at a time."""
+    docs, texts, folded, held = [], [], [], 0
+    for doc, text in zip(pdf["id"], pdf["text"]):
+        if text:
+            c = codes(fold(text))
+            docs.append(doc)
+            texts.append(text)
+            folded.append(c)
+            held += len(c)
+        if held >= BATCH_CHARS:
+            yield docs, texts, folded
+            docs, texts, folded, held = [], [], [], 0
+    if docs:
+        yield docs, texts, folded
+
+
 def _search(shared, run: int, budget: int):
     def scan(batches):
-        ids, texts = shared.value
-        items = Items(ids, texts, run, budget)
+        ids, texts, held = shared.value  # one object a worker: its later tasks find the pieces prepared
+        if "items" not in held:
+            held["items"] = Items(ids, texts, run, budget)
+        items = held["items"]
         for pdf in batches:
-            docs, folded, held = [], [], 0
-            for doc, text in zip(pdf["id"], pdf["text"]):
-                if text:
-                    c = codes(fold(text))
-                    docs.append(doc)
-                    folded.append(c)
-                    held += len(c)
-                if held >= BATCH_CHARS:
-                    yield rows(items, docs, folded)
-                    docs, folded, held = [], [], 0
-            if docs:
-                yield rows(items, docs, folded)
-
-    def rows(items, docs, folded):
-        doc, item, errors, length = find(items, folded)
-        return pd.DataFrame({"doc": pd.Series([docs[i] for i in doc], dtype=object), "item": pd.Series([items.ids[i] for i in item], dtype=object), "errors": errors.astype("int32"), "run": length.astype("int32")})
+            for docs, _, folded in _batches_of(pdf):
+                doc, item, errors, length = find(items, folded)
+                yield pd.DataFrame({"doc": pd.Series([docs[i] for i in doc], dtype=object), "item": pd.Series([items.ids[i] for i in item], dtype=object), "errors": errors.astype("int32"), "run": length.astype("int32")})
 
     return scan
 
 
+def _piece_slots(run: int, budget: int, bits: int):
+    def scan(batches):
+        for pdf in batches:
+            h = Items([*range(len(pdf))], pdf["text"].tolist(), run, budget).hashes
+            yield pd.DataFrame({"slot": np.unique(h >> np.uint64(64 - bits)).astype(np.int64)})
+
+    return scan
+
+
+def _maybe(shared, size: int, bits: int):
+    """Documents in which some window falls into a slot of the filter."""
+
+    def scan(batches):
+        bitmap = shared.value
+        for pdf in batches:
+            for docs, texts, folded in _batches_of(pdf):
+                d = np.concatenate([*folded, np.zeros(1, np.uint32)])
+                ends = np.cumsum([len(f) for f in folded])
+                if len(d) <= size:
+                    continue
+                slot = (Windows(d).of(np.arange(len(d) - size), size) >> np.uint64(64 - bits)).astype(np.int64)
+                hit = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                keep = np.unique(np.searchsorted(ends, hit, "right"))
+                yield pd.DataFrame({"id": pd.Series([docs[i] for i in keep], dtype=object), "text": pd.Series([texts[i] for i in keep], dtype=object)})
+
+    return scan
+
+
+def _left_by_filter(corpus: DataFrame, test: DataFrame, chars: int, run: int, budget: int) -> DataFrame:
+    """The documents that may hold a piece of any item, by one pass over the corpus. The filter is built in the workers
+    and the engine; its bits are in proportion to the pieces, up to a fixed number."""
+    spark, size = corpus.sparkSession, passage_shape(run, budget)
+    bits = min(MOST_BITS, max(FILTER_BITS, math.ceil(math.log2(max(chars / size, 1) * (budget + 1) * PIECE_BITS))))
+    slots = test.select("text").mapInPandas(_piece_slots(run, budget, bits), "slot bigint")
+    slots = slots.select((F.col("slot") + 1).alias("slot"))  # the engine's buckets count from 1
+    parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.toLocalIterator():  # 4 kB for each 32,768 slots
+        part = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+        first = (r["bucket"] - 1) << 12
+        bitmap[first : first + len(part)] |= part[: len(bitmap) - first]
+    shared = spark.sparkContext.broadcast(bitmap)
+    return cut(corpus.mapInPandas(_maybe(shared, size, bits), corpus.schema))
+
+
 def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 80, budget: int = 1) -> DataFrame:
     """doc_id, item_id, errors, run: each document and test item that share a passage with at most `budget` edits.
 
     errors is the least edit distance of a passage, run the longest exact common run that holds a whole passage (0 if
     none does); every exact common run of at least `run` folded characters is reported with its full length. Texts are
     folded by fold(). Null, empty and letterless texts give no row; items shorter than a passage cannot be found;
-    repeated rows repeat nothing if ids are unique. Items are read in blocks of BLOCK_CHARS, each sent to the workers
-    and searched for in all documents, whole texts. Empty tables give no row. Other columns are ignored.
+    repeated rows repeat nothing if ids are unique. The corpus is read once, whole texts; item sets of more than BLOCK_CHARS
+    characters are searched for in blocks, in the documents that a filter over all of them leaves. Empty tables give no row. Other columns are ignored.
     """
     spark = docs.sparkSession
     test = items.select(col(item_id).alias("id"), col(item_text).cast("string").alias("text")).filter("text is not null and id is not null")
@@ -250,10 +304,19 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     chars = test.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     kinds = dict(corpus.dtypes)["id"], dict(test.dtypes)["id"]
+    if blocks > 1:
+        test = cut(test)
+        corpus = _left_by_filter(corpus, test, chars, run, budget)
     out = None
     for b in range(blocks):
+        # One block at a time: about BLOCK_CHARS characters on the driver and in a worker.
         mine = test.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        shared = spark.sparkContext.broadcast(([r["id"] for r in mine], [r["text"] for r in mine]))
+        shared = spark.sparkContext.broadcast(([r["id"] for r in mine], [r["text"] for r in mine], {}))
         found = corpus.mapInPandas(_search(shared, run, budget), f"doc {kinds[0]}, item {kinds[1]}, errors int, run int")
+        if blocks > 1:
+            found = cut(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
+    if blocks > 1:
+        release(corpus, test)
     return out.withColumnsRenamed({"doc": doc_id, "item": item_id})

@@ -91,6 +91,14 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p9_one_edit(spark: SparkSession, d: str) -> DataFrame:
+    """The first 60 letters and signs of every item with one of them changed: found by edit distance alone."""
+    items = table(spark, d, "eval_items").select("eval_id", F.col("text").alias("item_text"))
+    plain = items.select(F.col("eval_id").alias("doc_id"), F.regexp_replace(F.lower("item_text"), r"[^\p{L}\p{N}]+", "").alias("f")).filter(F.length("f") >= 60)
+    docs = plain.select("doc_id", F.concat(F.substring("f", 1, 35), F.lit("৩"), F.substring("f", 37, 24)).alias("text"))
+    return leaked_passages(docs, "doc_id", "text", items, "eval_id", "item_text").filter("doc_id = eval_id").select("eval_id", "errors", "run")
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     return language_segments(table(spark, d, "documents"), "doc_id", "text", "lang")
 
@@ -103,7 +111,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("doc_id", "seg_no", "lang", F.round("confidence", 3).alias("confidence"), "n_sentences")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p5_found, p5_neighbours, p7_found, p7_user_splits, p7_split_stats, p8_ids, p9_found, p9_leaks, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p5_found, p5_neighbours, p7_found, p7_user_splits, p7_split_stats, p8_ids, p9_found, p9_leaks, p9_one_edit, p10_found, p10_segments)}
 
 _USABLE = """
 usable AS (
@@ -143,6 +151,7 @@ SELECT user_id, CAST(r AS INTEGER) AS item_rank, item_id FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) AS r FROM scores) WHERE r <= 5""",
     "p3_found": _PAIRS + "SELECT item_a, item_b FROM odds WHERE n_ab * n_baskets >= 4 * n_a * n_b",
     "p3_pairs": _PAIRS + "SELECT item_a, item_b, n_a, n_b, n_ab, n_baskets, round(lift0, 6) AS lift, round(odds0, 6) AS odds_ratio, round(ln(odds0), 6) AS log_odds FROM odds",
+    "p9_one_edit": r"SELECT eval_id, 1 AS errors, 0 AS run FROM eval_items WHERE length(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')) >= 60",
     "p7_found": f"""
 WITH {_ROOTS},
 users AS (SELECT DISTINCT user_id, c FROM interactions JOIN comp ON v = lower(trim(user_id)))
