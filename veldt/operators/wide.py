@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.functions.text import blank, clean_name, usable
-from veldt.session import col
+from veldt.session import col, cut, hint
 
 #: A catalogue becomes columns of one table; more attributes than this are refused.
 MOST_ATTRIBUTES = 2000
@@ -31,10 +31,11 @@ def cells(rows: DataFrame, catalogue: list[tuple[str, str]], entity: str, name:
     kinds = dict(catalogue)
     category = [a for a, k in kinds.items() if k == "category"]
     base = rows.select(col(entity).cast("string").alias("entity"), col(name).alias("name"), col(value).cast("double").alias("v"), col(at).alias("at")).filter(~blank(F.col("entity")))
-    # The generator keeps later filters from being pushed below it, where they would clean and match each name again.
-    resolve = lambda c: F.struct(c.alias("clean"), *[x.alias(n) for x, n in zip(resolve_attribute(c, list(kinds)), ("attribute", "rest"))])
-    base = base.select("entity", "v", "at", F.explode(F.transform(F.array(clean_name(F.col("name"))), resolve)).alias("p")).select("entity", "v", "at", "p.*")
-    base = base.filter("attribute is not null")
+    resolve = lambda c: [c.alias("clean"), *[x.alias(n) for x, n in zip(resolve_attribute(c, list(kinds)), ("attribute", "rest"))]]
+    # Names are few: each is cleaned and matched once, and the catalogue's ones are joined back.
+    names = rows.select(col(name).cast("string").alias("name")).filter("name is not null").distinct().select("name", clean_name(F.col("name")).alias("cleaned"))
+    names = cut(names).select("name", *resolve(F.col("cleaned"))).filter("attribute is not null")
+    base = base.join(hint(cut(names)), "name").drop("name")
     is_cat = F.col("attribute").isin(category) if category else F.lit(False)
     text = F.when(is_cat & (F.col("v") == 1.0) & (F.col("rest") != ""), F.col("rest"))
     num = F.when(~is_cat & (F.col("clean") == F.col("attribute")) & usable(F.col("v")), F.col("v"))
@@ -64,7 +65,7 @@ def _scatter(names: list[str], kinds: list[str], entity: str):
         is_cat = np.isin(c, cat)
         texts[r[is_cat], [slot[i] for i in c[is_cat]]] = txt[is_cat]
         at = r[~is_cat], np.array([other[i] for i in c[~is_cat]], int)
-        v = np.trunc(num[~is_cat])
+        v = np.rint(num[~is_cat])
         fits = np.abs(v) < 2.0**63
         nums[at] = np.where(fits, v, 0).astype(np.int64)
         there[at] = fits
@@ -103,8 +104,8 @@ def to_wide(rows: DataFrame, catalogue: DataFrame, entity: str = "user_id", name
     """One row per entity that has a cell, with one column per catalogue attribute: text for categories, bigint for numbers.
 
     Feature names are cleaned and belong to the longest attribute that equals or begins them. Blank entities, unknown
-    names, null values, NaN and infinities give no cell; a number is cut to its whole part, and one beyond 64 bits is
-    null; a null time is the earliest. Repeated rows change nothing. An empty table gives no row, an empty catalogue the
+    names, null values, NaN and infinities give no cell; a number is rounded to the nearest whole one (halves to the even
+    one), and one beyond 64 bits is null; a null time is the earliest. Repeated rows change nothing. An empty table gives no row, an empty catalogue the
     entity column without rows. Other columns are ignored. The catalogue is counted: more than MOST_ATTRIBUTES raise.
     """
     kinds = [(r[0], r[1]) for r in catalogue.select("attribute", "kind").dropna().distinct().orderBy("attribute").limit(MOST_ATTRIBUTES + 1).collect()]
