@@ -4,8 +4,10 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from veldt.operators import delimited, skew
 from veldt.operators.delimited import split_packed, split_rule
 from veldt.operators.skew import heavy_keys, key_stats
 from veldt.operators.wide import resolve_attribute, to_long, to_wide
@@ -88,6 +90,33 @@ def test_wide_matches_rules(spark):
     assert to_wide(df.limit(0), cat).count() == 0 and to_wide(df, cat.limit(0)).count() == 0
 
 
+def test_wide_rounds_numbers(spark):
+    rows = [("a", 2.7), ("b", 2.5), ("c", -2.5), ("d", 3.5), ("e", -0.4), ("f", 1e15 + 0.25)]
+    df = spark.createDataFrame([(u, "days", v, "x") for u, v in rows], "user_id string, feature_name string, value double, s string").withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp"))
+    got = {r["user_id"]: r["days"] for r in to_wide(df, spark.createDataFrame(CATALOGUE, "attribute string, kind string")).collect()}
+    assert got == {"a": 3, "b": 2, "c": -2, "d": 4, "e": 0, "f": 10**15}
+
+
+def test_key_stats_by_shuffle(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [("hot", rng.gauss(0, 50)) for _ in range(3000)] + [(f"k{i % 9}", rng.random()) for i in range(400)]
+    monkeypatch.setattr(skew, "HOT", 100)
+    monkeypatch.setattr(skew, "small", lambda df, rows=0: False)
+    got = {r["key_value"]: r["q0"] for r in key_stats(spark.createDataFrame(rows, "k string, v double"), "k", "v", (0.3,)).collect()}
+    for k in {k for k, _ in rows}:
+        vs = sorted(v for x, v in rows if x == k)
+        assert got[k] == vs[max(1, math.ceil(0.3 * len(vs))) - 1]
+
+
+def test_names_without_signs_do_not_count(spark, monkeypatch):
+    monkeypatch.setattr(delimited, "MOST_NAMES", 2)
+    names = spark.createDataFrame([(f"n{i}",) for i in range(9)] + [("a,b",), ("c|d",)], "genre string")
+    df = spark.createDataFrame([("g", "n1;a,b,c|d")], "k string, f string")
+    assert sorted((r["pos"], r["value"]) for r in split_packed(df, "k", "f", names).collect()) == [(1, "n1"), (2, "a,b"), (3, "c|d")]
+    with pytest.raises(ValueError):
+        split_packed(df, "k", "f", names.union(spark.createDataFrame([("e/f",)], "genre string")))
+
+
 def test_wide_many_entities(spark):
     df = spark.range(30_000).select(F.concat(F.lit("u"), F.col("id") % 9000).alias("user_id"), F.lit("days").alias("feature_name"), F.col("id").cast("double").alias("value"), F.timestamp_seconds("id").alias("loaded_at"))
     got = to_wide(df, spark.createDataFrame(CATALOGUE, "attribute string, kind string"))

@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.functions.text import BLANK, blank, strip
-from veldt.session import col, hint
+from veldt.session import col, cut, hint
 
 #: Signs that separate values.
 SEPARATORS = ",;|/、，；\t\n\r"
 #: Other signs that may belong to a notation.
 SIGNS = "\"'[]"
-#: The names that are never split come as a table of at most so many rows.
+#: Listed names that hold a separator or sign, at most; only these must be known beforehand, others cannot be split.
 MOST_NAMES = 20_000
+#: Both as the body of a Java character class.
+_ESCAPED = "".join("\\" + c if c in "[]|/" else c for c in SEPARATORS + SIGNS)
 
 
 def unit_pattern(names: list[str]) -> str:
     """A Java pattern that matches one unit at a time; names that hold signs come first, the longest before others."""
-    signs = "".join("\\" + c if c in "[]|/" else c for c in SEPARATORS + SIGNS) + r"\\"
+    signs = _ESCAPED + r"\\"
     held = sorted({n.strip() for n in names if re.search(f"[{re.escape(SEPARATORS + SIGNS)}]", n)}, key=lambda n: (-len(n), n))
     before, after = rf"(?<![^{signs}{BLANK}])", rf"(?=[{BLANK}]*(?:[{signs}]|$))"
     listed = [before + "(?:" + "|".join(r"\Q" + n + r"\E" for n in held) + ")" + after] if held else []
@@ -91,14 +93,16 @@ def split_packed(df: DataFrame, key: str, field: str, names: DataFrame | None =
     """
     listed = []
     if names is not None:
-        listed = [r[0] for r in names.select(col(names_col)).dropna().distinct().limit(MOST_NAMES + 1).collect()]
+        held = names.select(col(names_col).cast("string").alias("name")).filter(F.col("name").rlike(f"[{_ESCAPED}]")).distinct()
+        listed = [r[0] for r in held.limit(MOST_NAMES + 1).collect()]
         if len(listed) > MOST_NAMES:
-            raise ValueError(f"more than {MOST_NAMES} names")
+            raise ValueError(f"more than {MOST_NAMES} names hold a separator or sign")
     base = df.select(col(key).alias("k"), col(field).cast("string").alias("packed")).filter(~blank(F.col("k")) & ~blank(F.col("packed"))).distinct()
     units = F.expr("regexp_extract_all(packed, pattern, 0)")
     mask = F.transform("units", lambda u: F.when(u.startswith("\\"), F.lit("e")).when((F.length(u) == 1) & u.isin(*(SEPARATORS + SIGNS)), u).when(blank(u), F.lit("b")).otherwise(F.lit("a")))
     base = base.withColumn("pattern", F.lit(unit_pattern(listed))).withColumn("units", units).drop("pattern", "packed").withColumn("skeleton", F.array_join(mask, ""))
-    rules = base.select("skeleton").distinct().mapInPandas(_rules, "skeleton string, rule array<struct<first int, n int, quoting string>>")
+    rules = cut(base.select("skeleton").distinct().mapInPandas(_rules, "skeleton string, rule array<struct<first int, n int, quoting string>>"))
+
     def value(r):
         raw = F.array_join(F.slice("units", r["first"], r["n"]), "")
         return strip(F.when(r["quoting"] == "csv", F.replace(raw, F.lit('""'), F.lit('"'))).when(r["quoting"] == "list", F.regexp_replace(raw, r"\\([\s\S])", "$1")).otherwise(raw))

@@ -12,10 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldt.functions.text import usable
-from veldt.session import col, cut, hint, release
+from veldt.session import col, cut, hint, release, small
 
 #: Parts into which a bin is split in each round.
 PARTS = 256
+#: Rows of a key above which they are spread over SALTS tasks where they must be joined by a shuffle.
+HOT, SALTS = 1_000_000, 64
 
 
 def _octave(v: Column) -> Column:
@@ -39,6 +41,18 @@ def _locate(hist: DataFrame, by: list[str], bin_: str, want: DataFrame) -> DataF
     )
 
 
+def _meet(base: DataFrame, bins: DataFrame, per_key: DataFrame) -> DataFrame:
+    """Rows with the open bins of their key and octave. Many bins are joined by a shuffle, in which the rows of a hot key
+    go to SALTS tasks and its bins to all of them."""
+    if small(bins):
+        return base.join(F.broadcast(bins), ["k", "bin"])
+    hot = hint(per_key.filter(F.col("n") > HOT).select("k", F.lit(SALTS).alias("salts")))
+    many = F.coalesce("salts", F.lit(1))
+    x = base.join(hot, "k", "left").withColumn("salt", F.pmod(F.xxhash64("v"), many).cast("int")).drop("salts")
+    y = bins.join(hot, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
+    return x.join(y, ["k", "bin", "salt"]).drop("salt")
+
+
 def key_stats(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...] = (0.5,), heavy_share: float | None = None) -> DataFrame:
     """One row per key: key_value, n (rows), n_values (rows with a usable value), total, share of all rows and q0, q1...
 
@@ -69,11 +83,11 @@ def key_stats(df: DataFrame, key: str, value: str, quantiles: tuple[float, ...]
             open_ = here.filter(~done).select("k", "q", "rank", F.col("lo").alias("a"), F.col("hi").alias("b"))
             if open_.isEmpty():
                 break
-            bins = hint(open_.select("k", "a", "b").distinct())
+            bins = cut(open_.select("k", "a", "b", _octave(F.col("a")).alias("bin")).distinct())
             part = F.least(F.lit(PARTS - 1), F.floor((F.col("v") / 2 - F.col("a") / 2) / (F.col("b") / 2 - F.col("a") / 2) * PARTS))
             # The two ends always fall into different parts, so that every round makes progress.
             part = F.when(F.col("v") >= F.col("b"), F.lit(PARTS)).otherwise(F.greatest(part, F.lit(0))).cast("int")
-            inside = base.filter("v is not null").join(bins, "k").filter("v between a and b").withColumn("part", part)
+            inside = _meet(base.filter("v is not null"), bins, per_key).filter("v between a and b").withColumn("part", part)
             here = cut(_locate(_histogram(inside, "k", "a", "b", "part"), ["k", "a", "b"], "part", open_).select("k", "q", "rank", "n", "lo", "hi"))
     answers = reduce(DataFrame.unionByName, found) if found else None
     out = per_key
