@@ -73,6 +73,26 @@ def p7_split_stats(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(*[cell(s, w).alias(f"{s}_{w}") for w in ("interactions", "users") for s in ("train", "validation", "test")])
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """One row: users, records and components of the split, and how many components lie in more than one set."""
+    users = _users(spark, d)[1]
+    comps = users.groupBy("comp").agg(F.countDistinct("split").alias("splits"), F.count(F.lit(1)).alias("users"), F.sum("n").alias("records"))
+    return comps.agg(F.sum("users").alias("users"), F.sum("records").alias("records"), F.count(F.lit(1)).alias("components"), F.count(F.when(F.col("splits") > 1, 1)).alias("torn"))
+
+
+def p7_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """For every label and set the records that a share of exactly 80, 10 or 10 % would be, and whether the split comes as
+    near as 1 % of the label's records and ten more."""
+    rows, users = _users(spark, d)
+    placed = rows.join(users.select(F.col("user_id").alias("u"), "split"), F.col("user_id") == F.col("u")).select(F.coalesce("event_type", F.lit("")).alias("label"), "split")
+    n = placed.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("label").agg(F.sum("n").alias("total"))
+    shares = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.lit(x).alias("share")) for s, x in (("train", 0.8), ("validation", 0.1), ("test", 0.1))]))
+    want = total.select("label", "total", shares.alias("s")).select("label", "s.split", (F.col("total") * F.col("s.share")).alias("quota"), "total")
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("quota")) <= 0.01 * F.col("total") + 10
+    return want.join(n, ["label", "split"], "left").select("label", "split", F.round("quota", 3).alias("quota"), near.alias("near"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -111,7 +131,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("doc_id", "seg_no", "lang", F.round("confidence", 3).alias("confidence"), "n_sentences")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p5_found, p5_neighbours, p7_found, p7_user_splits, p7_split_stats, p8_ids, p9_found, p9_leaks, p9_one_edit, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p5_found, p5_neighbours, p7_found, p7_user_splits, p7_split_stats, p7_whole, p7_quotas, p8_ids, p9_found, p9_leaks, p9_one_edit, p10_found, p10_segments)}
 
 _USABLE = """
 usable AS (
@@ -156,4 +176,11 @@ SELECT user_id, CAST(r AS INTEGER) AS item_rank, item_id FROM (
 WITH {_ROOTS},
 users AS (SELECT DISTINCT user_id, c FROM interactions JOIN comp ON v = lower(trim(user_id)))
 SELECT a.user_id AS user_a, b.user_id AS user_b FROM users a JOIN users b ON a.c = b.c AND a.user_id < b.user_id""",
+    "p7_whole": f"""
+WITH {_ROOTS},
+users AS (SELECT user_id, count(*) AS n, lower(trim(user_id)) AS node FROM interactions WHERE regexp_matches(user_id, '[^\\s\\p{{Z}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{0b}}]') GROUP BY 1)
+SELECT count(*) AS users, CAST(sum(n) AS BIGINT) AS records, count(DISTINCT coalesce(c, node)) AS components, CAST(0 AS BIGINT) AS torn FROM users LEFT JOIN comp ON v = node""",
+    "p7_quotas": """
+WITH n AS (SELECT coalesce(event_type, '') AS label, count(*) AS n FROM interactions WHERE regexp_matches(user_id, '[^\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}\\x{0b}]') GROUP BY 1)
+SELECT label, split, round(n * share, 3) AS quota, true AS near FROM n, (VALUES ('train', 0.8::DOUBLE), ('validation', 0.1), ('test', 0.1)) AS t(split, share)""",
 }
