@@ -94,10 +94,13 @@ def metadata_validated(spark, d):
     return validate(table(spark, d, "content_metadata"), METADATA)
 
 
-@query("SELECT coalesce(user_id, '') AS user_id, coalesce(feature_name, '') AS feature_name, coalesce(value, 0.0) AS value, count(*) AS n FROM user_features WHERE value IS NULL OR NOT isnan(value) GROUP BY 1, 2, 3")
+@query("""SELECT coalesce(user_id, '') AS user_id, coalesce(feature_name, '') AS feature_name, CASE WHEN NOT isnan(coalesce(value, 0.0)) THEN coalesce(value, 0.0) END AS value,
+  isnan(coalesce(value, 0.0)) AS not_a_number, count(*) AS n FROM user_features GROUP BY 1, 2, 3, 4""")
 def features_cast_on_read(spark, d):
-    rows = table(spark, d, "user_features").filter("value is null or not isnan(value)")
-    return rows.select(as_text("user_id").alias("user_id"), as_text("feature_name").alias("feature_name"), as_number("value").alias("value")).groupBy("user_id", "feature_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    """All rows as the tolerant readers give them; NaN is one value, shown as null with a flag."""
+    rows = table(spark, d, "user_features").select(as_text("user_id").alias("user_id"), as_text("feature_name").alias("feature_name"), as_number("value").alias("value"))
+    rows = rows.groupBy("user_id", "feature_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("user_id", "feature_name", F.when(~F.isnan("value"), F.col("value")).alias("value"), F.isnan("value").alias("not_a_number"), "n")
 
 
 _MELT = ["media_type", "media_audio_language", "media_series_title", "airtable_primary_genre"]
