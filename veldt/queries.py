@@ -95,3 +95,11 @@ ORACLES = {
     "p2_key_stats": f"WITH {_KEYED} SELECT field, key_value, n, n_values, total, p25, p50, p75 FROM stats",
     "p6_found": f"WITH {_CELLS} SELECT user_id, attribute, value_text FROM latest",
 }
+
+# The attributes of the catalogue table with their kinds.
+ATTRIBUTES = {
+    "account_tenure_days": "number", "country": "category", "device": "category", "device_count": "number", "fav_series": "category", "plan": "category",
+    "plan_tier": "category", "region": "category", "sessions_30d": "number", "status": "category", "tenure": "category", "watch_minutes": "number",
+}
+_WIDE = ", ".join(f"CAST(max(CASE WHEN attribute = '{a}' THEN value_text END) AS {'VARCHAR' if k == 'category' else 'BIGINT'}) AS {a}" for a, k in ATTRIBUTES.items())
+ORACLES["p6_wide"] = f"WITH {_CELLS} SELECT user_id, {_WIDE} FROM latest GROUP BY 1"

@@ -143,6 +143,11 @@ def vocabulary(model: LinearModel, folder: str) -> str:
     return path
 
 
+def load_and_predict(spark: SparkSession, path: str, interactions: DataFrame, features: DataFrame | None = None, k: int = 100, **options) -> DataFrame:
+    """recommend() of a saved linear model."""
+    return load(spark, path).recommend(interactions, features, k, **options)
+
+
 def serve(model: LinearModel, requests: DataFrame, k: int = 10, rho: float | DataFrame = 0.0, default_rho: float = 0.0, mask: DataFrame | None = None) -> DataFrame:
     """user_row, rank, item_guid, score for requests (user_row, interactions map, features map): scores less rho for seen items.
 
