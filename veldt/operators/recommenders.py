@@ -113,6 +113,8 @@ class SequenceRecommender(_Vectors):
     def train(interactions: DataFrame, dim: int = 64, length: int = 50, heads: int = 2, layers: int = 2, dropout: float = 0.2, epochs: int = 50, batch: int = 16, rate: float = 1e-3, patience: int = 5, seed: int = 42) -> "SequenceRecommender":
         if "days_ago" not in interactions.columns:
             raise ValueError("days_ago is needed to order histories")
+        if dim % heads or not 0 <= dropout < 1:
+            raise ValueError("dim must be a multiple of heads, and dropout at least 0 and below 1")
         mapping = index((interactions, "item_id"))
         items = _names(mapping, dim)
         rows = padded_sequences(interactions, mapping, length).orderBy("user_id")
