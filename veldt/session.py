@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many rows may be broadcast; every use counts the rows first.
 BROADCAST_ROWS = 200_000
+#: Rows of one key above which spread_join() spreads them, and over how many tasks.
+HOT_ROWS, SALTS = 1_000_000, 64
 
 
 def session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -105,6 +107,20 @@ def hint(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row a key. Keys with more than HOT_ROWS rows on the left are spread over SALTS
+    tasks by the column `by`, and their rows on the right repeated, so no task holds a key of any size alone."""
+    if small(left, HOT_ROWS):
+        return left.join(right, on, how)
+    heavy = cut(left.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS).select(on, F.lit(SALTS).alias("__salts")))
+    if heavy.isEmpty():
+        return left.join(right, on, how)
+    heavy, many = hint(heavy), F.coalesce("__salts", F.lit(1))
+    x = left.join(heavy, on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), many).cast("int")).drop("__salts")
+    y = right.join(heavy, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("__salts")
+    return x.join(y, [on, "__salt"], how).drop("__salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over enough partitions for CPU-bound Python, if its files make too few."""
     want = df.sparkSession.sparkContext.defaultParallelism
