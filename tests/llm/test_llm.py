@@ -191,6 +191,16 @@ def test_components_and_split(spark):
     assert groupsplit.group_split(df.limit(0), "user_id", links.limit(0), "user_id", "linked_id", "event_type").count() == 0
 
 
+def test_giant_component_is_spread(spark, monkeypatch):
+    from veldt import session
+
+    links = spark.createDataFrame([(f"n{k:04d}", f"n{k + 1:04d}") for k in range(0, 60)] + [("hub", f"x{k}") for k in range(300)] + [("a", "b")], "l string, r string")
+    plain = {tuple(r) for r in groupsplit.components(links, "l", "r").collect()}
+    monkeypatch.setattr(session, "HOT_ROWS", 20)
+    assert {tuple(r) for r in groupsplit.components(links, "l", "r").collect()} == plain
+    assert len({c for _, c in plain}) == 3
+
+
 def test_split_keeps_quotas_of_labels_that_never_dominate(spark, monkeypatch):
     # All components have ten records, most of them views.
     mixes = [("cart", 4, 40), ("purchase", 3, 50), ("rating", 2, 60)]

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldt.functions.text import blank, strip
-from veldt.session import col, cut, hint, release
+from veldt.session import col, cut, hint, release, spread_join
 
 SPLITS = ("train", "validation", "test")
 #: Component sizes above this are bundled by hundredths of their magnitude, so that bundles stay few at any scale.
@@ -42,11 +42,12 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     edges = cut(ends.union(ends.select("b", "a")).distinct())
     label = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("l")))
     while True:
-        near = edges.join(label.select(F.col("v").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        near = spread_join(edges, label.select(F.col("v").alias("b"), "l"), "b", "a").groupBy("a").agg(F.min("l").alias("m"))
         step = label.join(near, label["v"] == near["a"], "left").select("v", F.col("l").alias("was"), F.least("l", F.coalesce("m", "l")).alias("l"))
         step = cut(step)
         up = step.select(F.col("v").alias("l"), F.col("l").alias("up"))
-        jumped = cut(step.join(up, "l", "left").select("v", "was", F.least("l", F.coalesce("up", "l")).alias("l")))
+        # All nodes of a component come to share a label, so its rows are spread.
+        jumped = cut(spread_join(step, up, "l", "v", "left").select("v", "was", F.least("l", F.coalesce("up", "l")).alias("l")))
         still = jumped.filter("l <> was").isEmpty()
         release(step, label)
         label = jumped.select("v", "l")

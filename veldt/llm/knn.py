@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veldt.session import col, cut, hint, release
+from veldt.session import col, cut, release, spread_join
 
 #: Vectors of each collection, and of each part of the first level, on which a partition is learned, at most; all are indexed.
 SAMPLE = 8192
@@ -281,7 +281,7 @@ def fit_index(queries: DataFrame, n: int, k: int) -> dict:
     chosen = held.filter(F.xxhash64("vec") <= below)
     sizes = {r["c"]: r["count"] for r in held.groupBy("c").count().collect()}  # one row a part
 
-    def inner(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def inner(key, pdf):
         x = _vectors(pdf["vec"].sort_values().iloc[: len(pdf)])
         x = x[np.random.default_rng(7).permutation(len(x))[:SAMPLE]]
         w = learn_parts(x, sizes[key[0]], math.ceil(sizes[key[0]] / PART), k)
@@ -344,7 +344,8 @@ def nearest(df: DataFrame, id_: str, vector: str, k: int = 10, size: int = 32) -
     ranked = F.transform(F.arrays_zip("ids", "sims"), lambda x: F.struct((-x["sims"]).alias("s"), x["ids"].alias("id")))
     merged = answers.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(ranked))), 1, k + 1).alias("best"))
     merged = cut(queries.join(merged, "q").select("vec", F.transform("best", lambda x: x["id"]).alias("best")))
-    out = rows.join(merged, "vec").select("id", F.slice(F.filter("best", lambda x: x != F.col("id")), 1, k).alias("ids"))
+    # A vector that very many ids share is one key; its rows are spread.
+    out = spread_join(rows, merged, "vec", "id").select("id", F.slice(F.filter("best", lambda x: x != F.col("id")), 1, k).alias("ids"))
     return out
 
 

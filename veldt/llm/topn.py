@@ -33,15 +33,17 @@ def top_n(scores: DataFrame, group: str, item: str, score: str, n: int, shares:
     release(base)
     order = W.partitionBy("g").orderBy(F.col("s").desc(), F.col("i"))
     picked: list[DataFrame] = []
+    counted: list[DataFrame] = []
     for k in range(len(ends) + 1):
         rows = banded.filter(F.col("band") == k).select("g", "i", "s")
         if picked:
             taken = reduce(DataFrame.union, picked).groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("taken"))
             taken = cut(taken)
+            counted.append(taken)
             rows = rows.join(taken.filter(F.col("taken") >= n).select("g"), "g", "left_anti")
         best = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n)
         if picked:
             best = best.join(taken.filter(F.col("taken") < n), "g", "left").withColumn("r", F.col("r") + F.coalesce("taken", F.lit(0))).filter(F.col("r") <= n)
         picked.append(cut(best.select("g", "r", "i")))
-    release(banded)
+    release(banded, *counted)
     return reduce(DataFrame.union, picked).select(F.col("g").alias(group), F.col("r").alias("item_rank"), F.col("i").alias(item))
