@@ -5,13 +5,15 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veldt import session as sessions
 from veldt.functions.features import Transform
 from veldt.operators import ann, linear, mappings, metrics, recommenders, sequences, splits, tuning
 from veldt.operators.neural import SequenceModel
-from veldt.sources import persist
+from veldt.sources import binary, persist
 from veldt.streaming.counts import windowed_scores
 
 XS = "user_id string, item_id string, value double"
@@ -103,6 +105,20 @@ def test_saved_versions(spark, tmp_path):
         persist.quantised(model, "int8", least=1.1)
 
 
+@given(st.integers(0, 3), st.integers(0, 3), st.sampled_from([1, 2, 3]), st.booleans(), st.lists(st.text(max_size=4), min_size=9, max_size=9))
+@settings(max_examples=40, deadline=None)
+def test_framed_files(m, k, version, events, names):
+    f = binary.Framed(np.arange((m + k) ** 2, dtype=float).reshape(m + k, m + k), {"user": names[:2], "item": names[2 : 2 + m], "user_feature": names[5 : 5 + k], "item_feature": names[8:]}, {"alpha": 1.0, "beta": 0.5, "lambda": 9.0, "meta_weight": 0.0}, version)
+    f.weighting = {"event_weights": {"buy": 2.0} if events else None, "decay_rate": 0.1, "ips_alpha": 0.0, "sparsity_threshold": 0.0} if version > 1 else None
+    f.tail = b"\0" if version > 2 else b""
+    data = binary.encode(f)
+    g = binary.decode(data)
+    assert np.array_equal(f.weights, g.weights) and (f.ids, f.numbers, f.version, f.weighting, f.tail) == (g.ids, g.numbers, g.version, g.weighting, g.tail)
+    for bad in (b"NOPE" + data[4:], data[:4] + b"\x09\0\0\0" + data[8:], data[: len(data) // 2], data[:8] + b"\x07" + data[9:]):
+        with pytest.raises(ValueError):
+            binary.decode(bad)
+
+
 def test_hot_groups_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [("hot" if k % 3 else f"u{k % 7}", f"i{rng.integers(40)}", float(rng.integers(60)), k) for k in range(900)] + [(None, "i1", 1.0, 1000 + k) for k in range(50)]

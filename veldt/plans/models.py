@@ -10,7 +10,7 @@ from veldt.operators import affinity, ann, linear, metrics, quality, splits, tun
 from veldt.operators.recommenders import Registry, SequenceRecommender, TwoTowerRecommender
 from veldt.plans.queries import BALANCE, LAMBDA, ORACLES, E, T, U, X, _rounded, _vectors, customer_features, events, orders, query, supplier_features
 from veldt.session import cut, table
-from veldt.sources import io, persist
+from veldt.sources import binary, io, persist
 
 
 def _folder(spark, name: str) -> str:
@@ -151,6 +151,14 @@ def exported_vocabulary(spark, d):
     return rows.select(F.lit("item").alias("kind"), "name", "idx")
 
 
+@query(f"WITH RECURSIVE {X}, {U}, {solved('', LAMBDA, uf='uf', beta=0.5)} SELECT r, c, round(w, 6) AS w FROM w")
+def binary_round_trip(spark, d):
+    """The weights of a model with features after a way through the framed binary file."""
+    path = _folder(spark, "model.bin")
+    binary.write_binary(linear.train(orders(spark, d), customer_features(spark, d), lam=LAMBDA, beta=0.5), path, lambda_=LAMBDA)
+    return binary.read_binary(spark, path).weights.select("r", "c", F.round("w", 6).alias("w"))
+
+
 # The linear model.
 
 
