@@ -372,8 +372,8 @@ def _shape(top: DataFrame, seen: DataFrame) -> DataFrame:
     rows = top.join(old, (F.col("user_id") == F.col("u")) & (F.col("item_id") == F.col("i")), "left")
     order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"])
     rows = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"), order.alias("s"), F.count("old").alias("old"))
-    falling = F.forall(F.sequence(F.lit(1), F.size("s") - 1), lambda k: F.col("s")[k] <= F.col("s")[k - 1])
-    return rows.select("user_id", "n", "first", "last", (falling | (F.size("s") < 2)).alias("falling"), "old").filter("n > 0")
+    falling = F.col("s") == F.reverse(F.array_sort("s"))
+    return rows.select("user_id", "n", "first", "last", falling.alias("falling"), "old").filter("n > 0")
 
 
 @query(f"WITH {E}, e AS (SELECT user_id, item_id AS i FROM ev WHERE user_id IS NOT NULL AND item_id IS NOT NULL), c AS (SELECT count(DISTINCT i) AS m FROM e) SELECT * FROM (SELECT user_id, {_WHOLE} FROM e, c GROUP BY user_id, m) WHERE n > 0")
@@ -397,7 +397,8 @@ def indexed_top(spark, d):
     model = _towers(spark, d).enable_index("exact")
     pick = lambda top: top.groupBy("user_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     a, b = pick(model.recommend(x, k=5)), pick(model.recommend(x, k=5, exact=True)).withColumnRenamed("items", "others")
-    return a.join(b, "user_id").select("user_id", (F.col("items") == F.col("others")).alias("same"))
+    both = x.select("user_id").distinct().join(a, "user_id", "left").join(b, "user_id", "left")  # some have seen everything
+    return both.select("user_id", F.col("items").eqNullSafe(F.col("others")).alias("same"))
 
 
 @query(f"""WITH {_HELD}, {E}, s AS (SELECT DISTINCT user_id FROM ev WHERE days_ago <= 7 AND user_id IN (SELECT user_id FROM ev WHERE days_ago > 7) AND item_id IN (SELECT item_id FROM ev WHERE days_ago > 7))
