@@ -43,7 +43,7 @@ CHANGE, MOST = 1.6, 14.0
 #: Different words from which a sentence counts fully.
 FULL = 6.0
 #: Texts judged at once, and windows of one product (few, so that they stay in the cache).
-TEXTS, PRODUCT = 256, 32
+TEXTS, PRODUCT = 256, 16
 
 
 def label_language(label: Column) -> Column:
@@ -100,8 +100,7 @@ def _without_codes(text: str) -> str:
 
 def _cleaned(text: str) -> str:
     """What the network sees of sentences, blanks aside: lower case, composed, without codes and digits, repeated signs once."""
-    text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
-    text = _without_codes(text.lower())
+    text = _without_codes(unicodedata.normalize("NFC", text).lower())
     for sign in "0123456789*#":
         text = text.replace(sign, " ")
     return _REPEATED.sub(r"\1", text if text.isascii() else _DIGIT.sub(" ", text))
@@ -152,15 +151,18 @@ def new_network(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _filters(w: dict[str, np.ndarray]) -> np.ndarray:
-    """All filters as columns over the widest window; narrower ones are zero behind their width."""
+def _filters(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The embedding, in which zero bytes are nothing, all filters as columns over the widest window (narrower ones are
+    zero behind their width), and their biases."""
     out = np.zeros((max(WIDTHS) * EMBED, FILTERS * len(WIDTHS)), np.float32)
     for j, k in enumerate(WIDTHS):
         out[: k * EMBED, j * FILTERS : (j + 1) * FILTERS] = w[f"k{k}"]
-    return out
+    e = w["e"].copy()
+    e[0] = 0
+    return e, out, np.concatenate([w[f"b{k}"] for k in WIDTHS])
 
 
-def forward(w: dict[str, np.ndarray], bytes_: np.ndarray, keep: bool = False):
+def forward(w: dict[str, np.ndarray], bytes_: np.ndarray, keep: bool = False, ready=None):
     """Log-probabilities of each window: embedding, one product for the filters of all widths, maximum, softmax.
 
     Behind the bytes stands room for the widest filter and one more, so a window's result does not depend on how many
@@ -168,14 +170,12 @@ def forward(w: dict[str, np.ndarray], bytes_: np.ndarray, keep: bool = False):
     """
     n, length = bytes_.shape
     widest = max(WIDTHS)
-    e = w["e"].copy()
-    e[0] = 0
+    e, filters, bias = ready or _filters(w)
     x = np.zeros((n, length + widest, EMBED), np.float32)
     x[:, :length] = e[bytes_]
     s = x.strides
     c = np.lib.stride_tricks.as_strided(x, (n, length + 1, widest * EMBED), s).reshape(-1, widest * EMBED)
-    y = (c @ _filters(w)).reshape(n, length + 1, -1)
-    bias = np.concatenate([w[f"b{k}"] for k in WIDTHS])
+    y = (c @ filters).reshape(n, length + 1, -1)
     best = y.max(1)
     top = ((y == best[:, None]) * np.arange(length + 1, dtype=np.uint8)[:, None]).max(1) if keep else None
     y = best
@@ -193,12 +193,12 @@ def _sizes(bytes_: np.ndarray) -> np.ndarray:
 
 def predict(w: dict[str, np.ndarray], bytes_: np.ndarray) -> np.ndarray:
     """Log-probabilities of each window, in products of windows of about one length."""
-    out = np.zeros((len(bytes_), len(LANGS)), np.float32)
+    out, ready = np.zeros((len(bytes_), len(LANGS)), np.float32), _filters(w)
     size = _sizes(bytes_)
     order = np.argsort(size, kind="stable")
     for a in range(0, len(order), PRODUCT):
         i = order[a : a + PRODUCT]
-        out[i] = forward(w, bytes_[i, : size[i[-1]]])
+        out[i] = forward(w, bytes_[i, : size[i[-1]]], ready=ready)
     return out
 
 
