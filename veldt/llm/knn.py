@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veldt.session import col, cut, release, spread_join
+from veldt.session import col, cut, spread_join
 
 #: Vectors of each collection, and of each part of the first level, on which a partition is learned, at most; all are indexed.
 SAMPLE = 8192
@@ -308,20 +308,20 @@ def nearest(df: DataFrame, id_: str, vector: str, k: int = 10, size: int = 32) -
     """
     rows = df.select(col(id_).cast("string").alias("id"), col(vector).cast("array<float>").alias("vec")).filter("id is not null and vec is not null")
     rows = cut(rows.mapInArrow(_pack(size, True), "id string, vec binary").distinct())
+    # The first ids of each vector; the very first one asks, under a number of its own.
     firsts = rows.withColumn("r", F.row_number().over(W.partitionBy("vec").orderBy("id"))).filter(F.col("r") <= k + 1)
-    firsts = cut(firsts)
-    queries = cut(firsts.filter("r = 1").select(F.monotonically_increasing_id().alias("q"), "vec"))
+    firsts = cut(firsts.select("id", "vec", F.when(F.col("r") == 1, F.monotonically_increasing_id()).otherwise(F.lit(-1)).alias("q")))
+    queries = firsts.filter("q >= 0").select("q", "vec")
     n = queries.count()
     model = fit_index(queries, n, k)
-    # A part's candidates stand in blocks, so that a part of any size is spread.
-    numbered = firsts.join(queries, "vec").select("id", "vec", F.when(F.col("r") == 1, F.col("q")).otherwise(F.lit(-1)).alias("q"))
 
     def indexed(pdf, x):
         return pdf.assign(part=home(x, model).astype(np.int32))
 
-    cand = cut(numbered.mapInPandas(_batched(indexed), "id string, vec binary, q bigint, part int"))
-    release(firsts)
-    cand = cand.withColumn("cb", F.pmod(F.xxhash64("id"), _blocks(cand, BLOCK)).cast("int"))
+    cand = cut(firsts.mapInPandas(_batched(indexed), "id string, vec binary, q bigint, part int"))
+    # A part's candidates stand in blocks, so that a part of any size is spread.
+    blocks = _blocks(cand, BLOCK)
+    cand = cand.withColumn("cb", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     near = cut(cand.groupBy("part", "cb").applyInPandas(_at_home(k + 1), "q bigint, vec binary, part int, cb int, ids array<string>, sims array<double>, least double"))
 
     def asking(with_vectors: bool):
@@ -334,7 +334,7 @@ def nearest(df: DataFrame, id_: str, vector: str, k: int = 10, size: int = 32) -
         return run
 
     asked = near.select("q", "vec", "least", "part", "cb").mapInPandas(_batched(asking(True)), "q bigint, vec binary, least double, own int, own_cb int, part int")
-    asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), _blocks(cand, BLOCK) - 1))).filter("part <> own or cb <> own_cb")
+    asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), blocks - 1))).filter("part <> own or cb <> own_cb")
     # No group can have more queries than there are; if those are many, they are counted by part and cut into blocks.
     asking_blocks = _blocks(near.select("vec").mapInPandas(_batched(asking(False)), "part int"), ASKING) if n > ASKING else F.lit(1)
     right = asked.select("part", "cb", F.pmod(F.xxhash64("q"), asking_blocks).cast("int").alias("qb"), "q", F.lit(None).cast("string").alias("id"), "vec", "least")
@@ -343,7 +343,7 @@ def nearest(df: DataFrame, id_: str, vector: str, k: int = 10, size: int = 32) -
     answers = near.select("q", "ids", "sims").unionByName(further)
     ranked = F.transform(F.arrays_zip("ids", "sims"), lambda x: F.struct((-x["sims"]).alias("s"), x["ids"].alias("id")))
     merged = answers.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(ranked))), 1, k + 1).alias("best"))
-    merged = cut(queries.join(merged, "q").select("vec", F.transform("best", lambda x: x["id"]).alias("best")))
+    merged = queries.join(merged, "q").select("vec", F.transform("best", lambda x: x["id"]).alias("best"))
     # A vector that very many ids share is one key; its rows are spread.
     out = spread_join(rows, merged, "vec", "id").select("id", F.slice(F.filter("best", lambda x: x != F.col("id")), 1, k).alias("ids"))
     return out
