@@ -8,6 +8,7 @@ cuts to the k best there, so only k rows a user and block ever move.
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldt.functions.features import Transform
-from veldt.session import cut, hint
+from veldt.session import cut, hint, release
 
 #: Bytes that the three dense matrices of a solve may take.
 SOLVE_BYTES = 3_000_000_000
@@ -42,18 +43,24 @@ def _paired(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.join(y, ["b", "salt"]).drop("salt")
 
 
+def _reading(out: DataFrame, *tables: DataFrame) -> DataFrame:
+    """out, which remembers the cut tables it reads, so that a caller who has written it can delete them."""
+    out._veldt_reads = tables
+    return out
+
+
 def gram(left: DataFrame, by: str, key: str, value: str = "value") -> DataFrame:
     """i <= j, g: sums over `by` of the products of values of two keys. Duplicates are summed first."""
     x = cut(left.groupBy(F.col(by).alias("b"), F.col(key).alias("i")).agg(F.sum(value).alias("v")))
     y = x.select("b", F.col("i").alias("j"), F.col("v").alias("w"))
-    return _paired(x, y).filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g"))
+    return _reading(_paired(x, y).filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g")), x)
 
 
 def cross_gram(left: DataFrame, left_key: str, right: DataFrame, right_key: str, by: str, value: str = "value") -> DataFrame:
     """i, j, g: sums over `by` of the products of a left key's and a right key's values."""
     x = cut(left.groupBy(F.col(by).alias("b"), F.col(left_key).alias("i")).agg(F.sum(value).alias("v")))
     y = cut(right.groupBy(F.col(by).alias("b"), F.col(right_key).alias("j")).agg(F.sum(value).alias("w")))
-    return _paired(x, y).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g"))
+    return _reading(_paired(x, y).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g")), x, y)
 
 
 @dataclass
@@ -79,17 +86,16 @@ def blocks(interactions: DataFrame, user_features: DataFrame | None = None, item
         features = _listed(u.select("feature_name")) if u is not None else []
     at = lambda df, names, name, first: df.join(F.broadcast(places(spark, names, name, first)), name)
     x = at(x, items, "item_id", 0)
-    parts = [gram(x, "user_id", "k").withColumn("block", F.lit("xtx"))]
+    parts = {"xtx": gram(x, "user_id", "k")}
     if t is not None:
-        parts.append(gram(at(t, items, "item_id", 0), "feature_name", "k").withColumn("block", F.lit("ttt")))
+        parts["ttt"] = gram(at(t, items, "item_id", 0), "feature_name", "k")
     if u is not None:
         u = at(u, features, "feature_name", len(items))
-        parts.append(cross_gram(x, "k", u, "k", "user_id").withColumn("block", F.lit("xtu")))
-        parts.append(gram(u, "user_id", "k").withColumn("block", F.lit("utu")))
-    cells = parts[0]
-    for p in parts[1:]:
-        cells = cells.unionByName(p)
-    return Blocks(cut(cells.select("block", "i", "j", "g")), items, features)
+        parts["xtu"] = cross_gram(x, "k", u, "k", "user_id")
+        parts["utu"] = gram(u, "user_id", "k")
+    cells = cut(reduce(DataFrame.unionByName, [p.select(F.lit(b).alias("block"), "i", "j", "g") for b, p in parts.items()]))
+    release(*[t for p in parts.values() for t in p._veldt_reads])
+    return Blocks(cells, items, features)
 
 
 def places(spark, names: list[str], name: str, first: int = 0) -> DataFrame:
