@@ -264,3 +264,34 @@ def test_shared_folder_on_a_cluster(spark):
     assert path in sessions._written
     sessions.release(held)
     assert path not in sessions._written
+
+
+def not_whole(*args):
+    raise AssertionError("the whole model on the driver")
+
+
+def with_features(spark):
+    _, x = made(spark)
+    return linear.train(x, spark.createDataFrame([(f"u{k}", f"f{k % 3}", 1.0) for k in range(30)], UFS), lam=5.0, beta=0.5)
+
+
+def test_quantised_in_workers(spark, monkeypatch):
+    model = with_features(spark)
+    want = {kind: persist.quantise(persist.dense(model), kind) for kind in ("fp16", "int8")}
+    monkeypatch.setattr(persist, "dense", not_whole)
+    for kind, (q, scale) in want.items():
+        rows = {r["r"]: r["w"] for r in persist.quantised(model, kind).rows.collect()}
+        assert np.array_equal([rows[k] for k in range(len(q))], q.astype(float) * scale[:, None])
+    with pytest.raises(ValueError):
+        persist.quantised(model, "int4")
+
+
+def test_neighbours_by_slices(spark, monkeypatch):
+    s = np.random.default_rng(4).integers(-2, 3, (9, 9)) / 4.0
+    model = linear.LinearModel(spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(s)], "r int, w array<double>"), [f"i{k}" for k in range(9)], [])
+    want = {(f"i{c}", n, f"i{r}") for c in range(9) for n, r in enumerate(sorted((r for r in range(9) if r != c), key=lambda r: (-s[r, c], r))[:3], 1)}
+    for size in (256, 2):
+        monkeypatch.setattr(linear, "SLICE", size)
+        for digits in (None, 1, 6):
+            got = {(r["item"], r["rank"], r["item_id"]) for r in model.neighbours(3, digits=digits).collect()}
+            assert len(got) == 27 and (got == want or digits == 1)
