@@ -295,3 +295,11 @@ def test_neighbours_by_slices(spark, monkeypatch):
         for digits in (None, 1, 6):
             got = {(r["item"], r["rank"], r["item_id"]) for r in model.neighbours(3, digits=digits).collect()}
             assert len(got) == 27 and (got == want or digits == 1)
+
+
+def test_payload_by_rows(spark, monkeypatch):
+    model = with_features(spark)
+    whole = persist.payload(model)
+    monkeypatch.setattr(persist, "dense", not_whole)
+    rows = persist.payload_rows(model).orderBy("item").collect()
+    assert [r["item"] for r in rows] == list(range(len(model.items))) and b"".join(bytes(r["s"]) for r in rows) == whole["s"]
