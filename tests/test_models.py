@@ -303,3 +303,20 @@ def test_payload_by_rows(spark, monkeypatch):
     monkeypatch.setattr(persist, "dense", not_whole)
     rows = persist.payload_rows(model).orderBy("item").collect()
     assert [r["item"] for r in rows] == list(range(len(model.items))) and b"".join(bytes(r["s"]) for r in rows) == whole["s"]
+
+
+@pytest.mark.parametrize("piece", [16_000_000, 300])
+def test_binary_file_in_pieces(spark, monkeypatch, tmp_path, piece):
+    model = with_features(spark)
+    want, n = persist.dense(model), len(model.items) + len(model.features)
+    monkeypatch.setattr(binary, "dense", not_whole, raising=False)
+    for module in (linear, binary):
+        monkeypatch.setattr(module, "PIECE_BYTES", piece)
+    binary.write_binary(model, str(tmp_path / "m.bin"), lambda_=5.0)
+    f = binary.decode((tmp_path / "m.bin").read_bytes())
+    assert f.weights.shape == (n, n) and not f.weights[len(model.items) :].any() and f.numbers["lambda"] == 5.0
+    back = binary.read_binary(spark, str(tmp_path / "m.bin"))
+    assert np.array_equal(persist.dense(back), want) and (back.items, back.features, back.beta) == (model.items, model.features, 0.5)
+    (tmp_path / "short.bin").write_bytes((tmp_path / "m.bin").read_bytes()[:400])
+    with pytest.raises(ValueError):
+        binary.read_binary(spark, str(tmp_path / "short.bin"))
