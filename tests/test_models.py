@@ -320,3 +320,34 @@ def test_binary_file_in_pieces(spark, monkeypatch, tmp_path, piece):
     (tmp_path / "short.bin").write_bytes((tmp_path / "m.bin").read_bytes()[:400])
     with pytest.raises(ValueError):
         binary.read_binary(spark, str(tmp_path / "short.bin"))
+
+
+def test_rows_step_as_the_whole_table():
+    from veldt.operators.neural import Adam, RowAdam, Tape
+
+    rng = np.random.default_rng(5)
+    start = rng.standard_normal((40, 3))
+    whole, few = Tape(start.copy()), Tape(start.copy())
+    a, b = Adam({"x": whole}, 0.01), RowAdam(few, 0.01)
+    for t in range(900):
+        at = np.unique(rng.integers(0, 30 if t % 300 else 40, 2))
+        g = rng.standard_normal((len(at), 3)) * 10.0 ** rng.integers(-6, 2)
+        assert np.allclose(b.rows(at), whole.data[at], rtol=0, atol=1e-10)
+        whole.grad = np.zeros_like(start)
+        whole.grad[at] = g
+        a.step()
+        b.step(at, g)
+    b.rows(np.arange(40))
+    assert np.allclose(few.data, whole.data, rtol=0, atol=1e-10)
+
+
+def test_towers_train_beyond_the_bound_of_histories(spark, histories_, monkeypatch):
+    monkeypatch.setattr(recommenders, "MOST_ROWS", 10)
+    u = spark.createDataFrame([(f"u{k}", "age", float(k)) for k in range(20)] + [(f"u{k}", "plan", 1.0) for k in range(0, 20, 2)], UFS)
+    rec = recommenders.TwoTowerRecommender.train(histories_, u, dim=8, epochs=2)
+    again = recommenders.TwoTowerRecommender.train(histories_.orderBy(F.rand(1)), u, dim=8, epochs=2)
+    assert rec.users == sorted(f"u{u}" for u in range(20)) and rec.predict("u3", {"age": 3.0}) == again.predict("u3", {"age": 3.0})
+    assert recommenders.TwoTowerRecommender.train(histories_.limit(0), dim=8, epochs=1).items == []
+    monkeypatch.setattr(recommenders, "MOST_PAIRS", 10)
+    with pytest.raises(ValueError):
+        recommenders.TwoTowerRecommender.train(histories_, dim=8)
