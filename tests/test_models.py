@@ -351,3 +351,46 @@ def test_towers_train_beyond_the_bound_of_histories(spark, histories_, monkeypat
     monkeypatch.setattr(recommenders, "MOST_PAIRS", 10)
     with pytest.raises(ValueError):
         recommenders.TwoTowerRecommender.train(histories_, dim=8)
+
+
+@pytest.mark.parametrize("users_a_task", [20_000, 3])
+def test_solved_by_components(spark, monkeypatch, tmp_path, users_a_task):
+    rng = np.random.default_rng(6)
+    rows = [(f"u{g}{u}", f"i{i % 4}{g}", float(rng.integers(1, 6))) for g in range(4) for u in range(9) for i in rng.permutation(4)[: rng.integers(1, 4)]]
+    rows += [("both", "i00", 2.0), ("solo", "j", 4.0)]
+    x = spark.createDataFrame(rows, XS)
+    more = x.unionByName(spark.createDataFrame([("both", "i01", 1.0), ("new", "zz", 1.0), ("nil", "i02", None)], XS))
+    whole = linear.train(x, lam=5.0)
+    monkeypatch.setattr(linear, "USERS", users_a_task)
+    monkeypatch.setattr(linear, "WHOLE_BYTES", 0)
+    monkeypatch.setattr(linear, "SOLVE_BYTES", 24 * 4 * 4)  # no component is larger
+    model = linear.train(x, lam=5.0)
+    monkeypatch.setattr(linear, "SOLVE_BYTES", 3_000_000_000)
+    assert model.parted and not whole.parted and model.items == whole.items
+    assert np.allclose(persist.dense(model), persist.dense(whole), atol=1e-12)
+    persist.save(model, str(tmp_path / "m"))
+    assert model.validate()["passed"] and persist.load(spark, str(tmp_path / "m")).parted
+    flat = lambda df: sorted((*r[:-1], round(r[-1], 6)) for r in df.collect())
+    rho = spark.createDataFrame([("u00", 3.0)], "user_id string, rho double")
+    seen = spark.createDataFrame([("u01", "i13"), ("u02", "i00")], "user_id string, item_id string")
+    mask = whole.item_frame().select("item_id", F.when(F.col("item_id").isin("i02", "i11"), 0.0).otherwise(1.0).alias("mask"))
+    users = spark.createDataFrame([("nobody",)], "user_id string")
+    for options in ({"k": 3}, {"k": 99, "exclude_seen": False, "rho": rho}, {"k": 5, "mask": mask, "seen": seen, "users": users}, {"k": 0}):
+        a, b = (m.recommend(more, digits=9, **options) for m in (persist.load(spark, str(tmp_path / "m")), whole))
+        assert flat(a) == flat(b), options
+    assert flat(model.scores(more)) == flat(whole.scores(more))
+    assert flat(model.weights) == flat(whole.weights.filter("abs(w) > 1e-15"))
+    for k in (2, 30):
+        assert flat(model.neighbours(k, digits=9)) == flat(whole.neighbours(k, digits=9))
+    assert flat(model.similar("i11", 3)) == flat(whole.similar("i11", 3))
+    assert np.allclose(persist.dense(persist.quantised(model, "fp16")), persist.dense(persist.quantised(whole, "fp16")))
+    u = spark.createDataFrame([(f"u{g}{k}", f"f{g % 2}", 1.0) for g in range(4) for k in range(9)], UFS)
+    monkeypatch.setattr(linear, "WHOLE_BYTES", 1_000_000_000)
+    whole = linear.train(x, u, lam=5.0)
+    monkeypatch.setattr(linear, "WHOLE_BYTES", 0)
+    model = linear.train(x, u, lam=5.0)
+    assert model.parted and np.allclose(persist.dense(model), persist.dense(whole), atol=1e-12)
+    assert flat(model.recommend(more, u, 5, digits=9)) == flat(whole.recommend(more, u, 5, digits=9))
+    monkeypatch.setattr(linear, "SOLVE_BYTES", 24 * 3 * 3)
+    with pytest.raises(ValueError, match="connected"):
+        linear.train(x, lam=5.0)

@@ -201,7 +201,7 @@ def write_binary(model: LinearModel, path: str, **numbers: float) -> None:
     given = {"alpha": 1.0, "beta": model.beta, "lambda": 0.0, "meta_weight": 0.0} | {k.rstrip("_"): v for k, v in numbers.items()}
     before, after = _around(Framed(np.zeros((0, 0)), {"user": [], "item": model.items, "user_feature": model.features, "item_feature": []}, given), n, n)
     step = max(1, PIECE_BYTES // (16 * max(m, 1)))
-    columns = cut(transposed(model.rows, m))
+    columns = cut(transposed(model.dense_rows(), m))
     fs, p, local, q = _local(spark, path)
     try:
         with open(local, "wb") as stream:
