@@ -394,3 +394,63 @@ def test_solved_by_components(spark, monkeypatch, tmp_path, users_a_task):
     monkeypatch.setattr(linear, "SOLVE_BYTES", 24 * 3 * 3)
     with pytest.raises(ValueError, match="connected"):
         linear.train(x, lam=5.0)
+
+
+def shared_features(spark):
+    """Four components of items that features of users and of items connect."""
+    rng = np.random.default_rng(7)
+    rows = [(f"u{g}{u}", f"i{i % 4}{g}", float(rng.integers(1, 6))) for g in range(4) for u in range(9) for i in rng.permutation(4)[: rng.integers(1, 4)]]
+    x = spark.createDataFrame(rows + [("solo", "j", 4.0)], XS)
+    u = spark.createDataFrame([(f"u{g}{k}", f"f{k % 3}", 1.0 + g) for g in range(4) for k in range(9)] + [("new", "f1", 2.0), ("new", "f2", 1.0), ("like", "f1", 2.0), ("like", "f2", 1.0)], UFS)
+    t = spark.createDataFrame([(f"i{i}{g}", f"t{(i + g) % 3}", 1.0 + i) for g in range(4) for i in range(4)] + [("j", "t0", 1.0), ("unsold", "t1", 2.0), ("i00", "t0", 1.0)], "item_id string, feature_name string, value double")
+    return x, u, t
+
+
+def bordered(monkeypatch, train):
+    """A model solved as a whole, and with a border, where no more than four items may be connected."""
+    whole = train()
+    monkeypatch.setattr(linear, "WHOLE_BYTES", 0)
+    monkeypatch.setattr(linear, "SOLVE_BYTES", 24 * 4 * 4)
+    model = train()
+    assert isinstance(model, linear.BorderedModel) and not whole.parted and (model.items, model.features) == (whole.items, whole.features)
+    return model, whole
+
+
+def flat(df):
+    return sorted((*r[:-1], round(r[-1], 6)) for r in df.collect())
+
+
+@pytest.mark.parametrize("block", [64_000_000, 300])
+def test_features_join_components(spark, monkeypatch, block):
+    x, u, t = shared_features(spark)
+    monkeypatch.setattr(linear, "BLOCK_BYTES", block)
+    model, whole = bordered(monkeypatch, lambda: linear.train(x, u, t, lam=5.0, alpha=0.7, beta=0.5, meta_weight=2.0))
+    for k in (3, 99):
+        assert flat(model.recommend(x.limit(0), u, k, digits=9)) == flat(whole.recommend(x.limit(0), u, k, digits=9))
+    assert "rows" not in vars(model)  # features alone do not need them
+    assert np.allclose(persist.dense(model), persist.dense(whole), rtol=0, atol=1e-12)
+    more = x.unionByName(spark.createDataFrame([("u00", "i01", 1.0), ("u00", "i13", 2.0), ("new2", "zz", 1.0), ("nil", "i02", None)], XS))
+    rho = spark.createDataFrame([("u00", 3.0)], "user_id string, rho double")
+    seen = spark.createDataFrame([("u01", "i13"), ("u02", "i00"), ("like", "i11")], "user_id string, item_id string")
+    mask = whole.item_frame().select("item_id", F.when(F.col("item_id").isin("i02", "i11"), 0.0).otherwise(1.0).alias("mask"))
+    users = spark.createDataFrame([("nobody",)], "user_id string")
+    for options in ({"k": 3}, {"k": 99, "exclude_seen": False, "rho": rho}, {"k": 5, "mask": mask, "seen": seen, "users": users}, {"k": 0}):
+        assert flat(model.recommend(more, u, digits=9, **options)) == flat(whole.recommend(more, u, digits=9, **options)), options
+    assert flat(model.scores(more, u)) == flat(whole.scores(more, u))
+    for k in (2, 30):
+        assert flat(model.neighbours(k, digits=9)) == flat(whole.neighbours(k, digits=9))
+    assert flat(model.weights.filter("abs(w) > 1e-13")) == flat(whole.weights.filter("abs(w) > 1e-13"))
+    a, b = model.validate(), whole.validate()
+    assert a["passed"] and b["passed"] and abs(a["largest"] - b["largest"]) < 1e-12
+    assert np.allclose(persist.dense(persist.quantised(model, "fp16")), persist.dense(persist.quantised(whole, "fp16")))
+
+
+def test_no_border_without_lambda_or_with_a_threshold(spark, monkeypatch):
+    x, u, t = shared_features(spark)
+    for options in ({"lam": 5.0, "threshold": 0.02}, {"lam": 5.0, "threshold": 0.02, "alpha": 0.0}):
+        monkeypatch.setattr(linear, "WHOLE_BYTES", 1_000_000_000)
+        whole = linear.train(x, u, t, **options)
+        monkeypatch.setattr(linear, "WHOLE_BYTES", 0)
+        assert np.allclose(persist.dense(linear.train(x, u, t, **options)), persist.dense(whole), atol=1e-12)
+    monkeypatch.setattr(linear, "BORDER_BYTES", 8 * 10)
+    assert np.allclose(persist.dense(linear.train(x, u, t, **options)), persist.dense(whole), atol=1e-12)
