@@ -454,3 +454,19 @@ def test_no_border_without_lambda_or_with_a_threshold(spark, monkeypatch):
         assert np.allclose(persist.dense(linear.train(x, u, t, **options)), persist.dense(whole), atol=1e-12)
     monkeypatch.setattr(linear, "BORDER_BYTES", 8 * 10)
     assert np.allclose(persist.dense(linear.train(x, u, t, **options)), persist.dense(whole), atol=1e-12)
+
+
+def test_bordered_models_are_saved(spark, monkeypatch, tmp_path):
+    x, u, t = shared_features(spark)
+    model, whole = bordered(monkeypatch, lambda: linear.train(x, u, t, lam=5.0))
+    raw = spark.createDataFrame([("a", "0"), ("b", "2"), ("c", None), ("d", "2")], "user_id string, f string")
+    for m, name in ((model, "m"), (whole, "w")):
+        m.transform = Transform().add_categorical("f", "f")
+        persist.save(m, str(tmp_path / name))
+    back, other = (persist.load(spark, str(tmp_path / name)) for name in "mw")
+    assert isinstance(back, linear.BorderedModel) and not other.parted and back.transform == model.transform
+    assert flat(back.recommend_raw(x.limit(0), raw, 5, digits=9)) == flat(other.recommend_raw(x.limit(0), raw, 5, digits=9))
+    assert flat(back.recommend(x, u, 5, digits=9)) == flat(other.recommend(x, u, 5, digits=9))
+    persist.write_arrays(spark, str(tmp_path / "m"), model.border | {"lift": model.border["lift"][:-1]})
+    with pytest.raises(ValueError, match="border"):
+        persist.load(spark, str(tmp_path / "m"))
