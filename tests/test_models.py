@@ -470,3 +470,15 @@ def test_bordered_models_are_saved(spark, monkeypatch, tmp_path):
     persist.write_arrays(spark, str(tmp_path / "m"), model.border | {"lift": model.border["lift"][:-1]})
     with pytest.raises(ValueError, match="border"):
         persist.load(spark, str(tmp_path / "m"))
+
+
+def test_search_with_features_that_join_components(spark, monkeypatch):
+    x, u, _ = shared_features(spark)
+    found, kinds = [], []
+    solve = tuning.solve
+    monkeypatch.setattr(tuning, "solve", lambda *a: (kinds.append(type(m := solve(*a))), m)[1])
+    for bytes_ in (1_000_000_000, 0):
+        monkeypatch.setattr(linear, "WHOLE_BYTES", bytes_)
+        found.append([s for t in tuning.search(x, tuning.grid({"lam": [5.0, 50.0]}), u, n_folds=2, k=5) for s in t.fold_scores])
+        monkeypatch.setattr(linear, "SOLVE_BYTES", 24 * 4 * 4)
+    assert np.allclose(*found) and kinds == 4 * [linear.LinearModel] + 4 * [linear.BorderedModel]
