@@ -482,3 +482,23 @@ def test_search_with_features_that_join_components(spark, monkeypatch):
         found.append([s for t in tuning.search(x, tuning.grid({"lam": [5.0, 50.0]}), u, n_folds=2, k=5) for s in t.fold_scores])
         monkeypatch.setattr(linear, "SOLVE_BYTES", 24 * 4 * 4)
     assert np.allclose(*found) and kinds == 4 * [linear.LinearModel] + 4 * [linear.BorderedModel]
+
+
+def test_gram_with_a_border_makes_no_pairs(spark, monkeypatch):
+    x, u, t = shared_features(spark)
+    whole = persist.dense(linear.train(x, u, t, lam=5.0, beta=0.5))
+    made, paired = [], linear._paired
+    monkeypatch.setattr(linear, "_paired", lambda *a: (made.append((y := paired(*a)).count()), y)[1])
+    monkeypatch.setattr(linear, "WHOLE_BYTES", 0)
+    for tile, pairs in ((64_000_000, 100_000_000), (8 * 9, 1)):
+        monkeypatch.setattr(linear, "TILE_BYTES", tile)
+        monkeypatch.setattr(linear, "TILE_PAIRS", pairs)
+        assert np.allclose(persist.dense(linear.train(x, u, t, lam=5.0, beta=0.5)), whole, rtol=0, atol=1e-12)
+    assert made == [44, 44]  # the features of users; interactions make none
+
+
+def test_metrics_with_known_numbers_of_relevant_items(spark):
+    ranked = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "user_id string, rank int, item_id string")
+    rel = spark.createDataFrame([("a", "y"), ("a", "w"), ("b", "z"), ("c", "w")], "user_id string, item_id string")
+    n = rel.groupBy("user_id").agg(F.count("*").alias("n_rel"))
+    assert sorted(metrics.per_user_metrics(ranked, rel, [1, 2], True).collect()) == sorted(metrics.per_user_metrics(ranked, rel.filter("item_id <> 'w'"), [1, 2], True, n).collect())
