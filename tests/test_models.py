@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veldt import session as sessions
+from veldt.__main__ import main as command_line
 from veldt.functions.features import Transform
 from veldt.operators import ann, linear, mappings, metrics, recommenders, sequences, splits, tuning
 from veldt.operators.neural import SequenceModel
@@ -497,6 +498,34 @@ def test_gram_with_a_border_makes_no_pairs(spark, monkeypatch):
     assert made == [44, 44]  # the features of users; interactions make none
 
 
+def test_gram_without_features_makes_no_pairs(spark, monkeypatch):
+    x, _, _ = shared_features(spark)
+    whole = [persist.dense(linear.train(x, lam=5.0, threshold=t)) for t in (0.0, 0.02)]
+    made, paired = [], linear._paired
+    monkeypatch.setattr(linear, "_paired", lambda *a: (made.append(1), paired(*a))[1])
+    monkeypatch.setattr(linear, "WHOLE_BYTES", 0)
+    monkeypatch.setattr(linear, "TILE_BYTES", 8 * 9)
+    monkeypatch.setattr(linear, "TILE_PAIRS", 1)
+    for t, want in zip((0.0, 0.02), whole):
+        model = linear.train(x, lam=5.0, threshold=t)
+        assert model.parted and np.allclose(persist.dense(model), want, rtol=0, atol=1e-12)
+    joined = x.unionByName(spark.createDataFrame([("all", f"i{i}{g}", 1.0) for g in range(4) for i in range(4)], XS))  # one component: solved as a whole
+    model = linear.train(joined, lam=5.0)
+    monkeypatch.setattr(linear, "WHOLE_BYTES", 1_000_000_000)
+    assert not made and not model.parted and np.allclose(persist.dense(model), persist.dense(linear.train(joined, lam=5.0)), rtol=0, atol=1e-12)
+
+
+def test_command_line_keeps_a_running_session(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        made(spark, users=5, items=3)[1].write.parquet(str(tmp_path / "x.parquet"))
+        command_line(["--interactions", str(tmp_path / "x.parquet"), "--output", str(tmp_path / "m")])
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "5" and len(persist.load(spark, str(tmp_path / "m")).items) == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_metrics_with_known_numbers_of_relevant_items(spark):
     ranked = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "user_id string, rank int, item_id string")
     rel = spark.createDataFrame([("a", "y"), ("a", "w"), ("b", "z"), ("c", "w")], "user_id string, item_id string")
